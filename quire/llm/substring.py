@@ -32,8 +32,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import mix64, quoted, shuffle_partitions
 
 WINDOW, BLOCK = 35, 18
-#: Bytes of text to a pack, and words to a range of hash values.
-PACK_BYTES, RANGE_WORDS = 4 << 20, 1 << 20
+#: Bytes of text to a pack, and words to a range of hash values, in a small corpus. Every pack asks every range, so
+#: beyond ``MANY`` of them packs and ranges grow, up to 32 times these sizes, rather than their number.
+PACK_BYTES, RANGE_WORDS, MANY = 4 << 20, 1 << 20, 4096
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -215,9 +216,12 @@ def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     parts = shuffle_partitions(spark)
-    packs = max(2 * parts, math.ceil((size[0] or 0) / PACK_BYTES))
-    ranges = max(parts, math.ceil((size[0] or 0) / 6 / RANGE_WORDS))
-    bits = min(64, max(40, (size[0] or 1).bit_length() + 12))
+    total = size[0] or 0
+    words_about = total / 6
+    packs = max(parts, math.ceil(total / min(32 * PACK_BYTES, max(PACK_BYTES, total / MANY))))
+    ranges = math.ceil(words_about / min(32 * RANGE_WORDS, max(RANGE_WORDS, words_about / MANY)))
+    ranges = max(1, ranges, min(parts, math.ceil(words_about / (RANGE_WORDS / 4))))
+    bits = min(64, max(40, total.bit_length() + 12))
     # The pack follows from the row, so that a row that is read again meets the same others.
     view = docs.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("carry"), text.alias("text")).withColumn(
         "pack", F.pmod(F.xxhash64("text", "carry"), F.lit(packs)).cast("int")
