@@ -7,6 +7,7 @@ operator says so, and columns that the operator does not know are ignored.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,6 +72,15 @@ def map_text(
     return view.mapInArrow(run, schema)
 
 
+def kept(make: Callable, *args):
+    """What ``make(*args)`` gave before in this worker process, or gives now: vocabularies and their memories outlive a task."""
+    held = sys.__dict__.setdefault("_quire_kept", {})
+    key = (make.__qualname__, args)
+    if key not in held:
+        held[key] = make(*args)
+    return held[key]
+
+
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text; a longer text is a run of its own."""
     sizes = np.diff(np.frombuffer(batch.column(text_at).buffers()[1], dtype=offset_type(batch.column(text_at)))[batch.column(text_at).offset :][: batch.num_rows + 1])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import quoted, slices, staged
+from .common import kept, quoted, slices, staged
 from .vocab import Encoder, public_path
 
 WINDOW = 2048
@@ -143,7 +143,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        encoder, part = Encoder(path, True), TaskContext.get().partitionId()
+        encoder, part = kept(Encoder, path, True), TaskContext.get().partitionId()
         names: list = []
         held: list[np.ndarray] = []
         tokens = made = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, flat, map_text, mix64, quoted
+from .common import GOLDEN, flat, kept, map_text, mix64, quoted
 from .vocab import public_path
 
 ALPHA = 0.3
@@ -161,7 +161,7 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None
     view = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias("text"), _key(id_col).alias("key"))
 
     def make():
-        lattices = Lattices(path, alpha)
+        lattices = kept(Lattices, path, alpha)
         return lambda texts, keys: [give(lattices, t, ids) for t, ids in zip(texts, lattices.sample(texts, keys))]
 
     return flat(map_text(view, "text", out, make, [id_col], ["key"], whole=True))
@@ -179,7 +179,7 @@ def decode_pieces(rows: DataFrame, id_col: str = "doc_id", pieces_col: str = "pi
 
     @F.pandas_udf("string")
     def text(pieces):
-        lattices = Lattices(path, ALPHA)
+        lattices = kept(Lattices, path, ALPHA)
         return pieces.map(lattices.decode)
 
     return rows.select(id_col, text(F.col(quoted(pieces_col))).alias("text"))

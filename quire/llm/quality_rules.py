@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, map_text, quoted
+from .common import flat, kept, map_text, quoted
 from .vocab import Pieces, public_path
 
 
@@ -92,7 +92,7 @@ def deleted(data: bytes, what: bytes) -> int:
 
 class Rules:
     def __init__(self, path: str, bands: dict[str, Band]) -> None:
-        self.pieces, self.bands = Pieces(path), bands
+        self.pieces, self.bands = kept(Pieces, path), bands
 
     def __call__(self, text: str, lang: str | None = None) -> tuple:
         data = text.encode()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, slices, staged
+from .common import kept, quoted, slices, staged
 from .vocab import Encoder, public_path
 
 #: Tokens to a block, and to a frame about.
@@ -271,7 +271,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = view.repartitionByRange(max(1, math.ceil(size / SHARD_BYTES)), "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def run(batches):
-        encoder, part = Encoder(path, False), TaskContext.get().partitionId()
+        encoder, part = kept(Encoder, path, False), TaskContext.get().partitionId()
         ids: list = []
         held: list[np.ndarray] = []
         tokens = before = frame = 0
