@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,98 +27,134 @@ from .vocab import public_path
 ALPHA = 0.3
 _CHUNK = re.compile(r" ?[^ \n]+|\n+| +(?=[ \n]|$)")
 _BLANK = "▁"
-_SPACE_TO_BLANK = str.maketrans({" ": _BLANK, _BLANK: "￿"})
-#: Edges that one worker remembers.
-ROOM = 3_000_000
+#: Edges that one worker remembers, and bytes of text that it samples at a time.
+ROOM, BATCH = 3_000_000, 2 << 20
 
 
 class Lattices:
-    """The lattices of the chunks met so far. Each place of a chunk has a row of incoming edges; ``cum`` is the row's
-    number plus the running probability of its edges, so that one sorted search draws an edge."""
+    """The lattices of the chunks met so far, as rows of edges: row ``first + i`` of a chunk holds the edges that end behind
+    its character i, longest first, with their running probabilities."""
 
     def __init__(self, path: str, alpha: float) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.pieces: dict[str, int] = {}
-        self.weight: list[float] = [0.0] * n
+        self.weight = np.zeros(n)
         self.text: list[bytes] = [b""] * n
-        self.byte_id = [0] * 256
-        prefixes: set[str] = set()
+        self.byte_id = np.zeros(256, dtype=np.int64)
+        states: dict[tuple[int, int], int] = {}  # (state, character) -> state of the trie of all pieces
+        ends = {}
         for i in range(n):
             piece = model.id_to_piece(i)
-            self.weight[i] = -alpha * math.log(2 - model.get_score(i)) if model.get_score(i) <= 0 else 0.0
+            # Scores fall with the rank in the vocabulary; a byte counts as the last of it.
+            self.weight[i] = -alpha * math.log(2 + n if model.is_byte(i) else 2 - min(0.0, model.get_score(i)))
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
-                self.weight[i] = -alpha * math.log(2 + n)
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if _BLANK in piece.lstrip(_BLANK) or "\n" in piece:
                     raise ValueError(f"a piece crosses a cut: {piece!r}")
-                self.pieces[piece] = i
                 self.text[i] = piece.replace(_BLANK, " ").encode()
-                prefixes.update(piece[:k] for k in range(1, len(piece) + 1))
-        self.prefixes = prefixes
+                at = 0
+                for c in piece:
+                    at = states.setdefault((at, ord(c)), len(states) + 1)
+                ends[at] = i
+        keys = np.array([s << 21 | c for s, c in states], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.array(list(states.values()), dtype=np.int64)[order]
+        self.piece = np.full(len(states) + 1, -1, dtype=np.int32)
+        self.piece[list(ends)] = list(ends.values())
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, tuple[int, int]] = {}
-        self.rows, self.cum, self.back, self.spelled = [0], [], [], []
-        self.arrays: tuple[np.ndarray, ...] | None = None
-
-    def _add(self, chunk: str) -> tuple[int, int]:
-        """(first row, length) of the chunk; row i has the edges that end behind i characters."""
-        text = chunk.translate(_SPACE_TO_BLANK)
-        n, pieces, prefixes, weight = len(text), self.pieces, self.prefixes, self.weight
-        incoming: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            j = i + 1
-            if (one := pieces.get(text[i])) is None:
-                ids = tuple(self.byte_id[b] for b in chunk[i].encode())
-                incoming[j].append((i, sum(weight[b] for b in ids), ids))
-            else:
-                incoming[j].append((i, weight[one], (one,)))
-            while j < n and (part := text[i : j + 1]) in prefixes:
-                j += 1
-                if (k := pieces.get(part)) is not None:
-                    incoming[j].append((i, weight[k], (k,)))
-        first = len(self.rows) - 1
-        total = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            logs = [total[i] + w for i, w, _ in incoming[j]]
-            top = max(logs)
-            shares = [math.exp(x - top) for x in logs]
-            whole = sum(shares)
-            total[j] = top + math.log(whole)
-            row = len(self.rows) - 1
-            for (i, _, ids), upto in zip(incoming[j], accumulate(shares)):
-                self.cum.append(row + upto / whole)
-                self.back.append(j - i)
-                self.spelled.append(ids)
-            self.cum[-1] = row + 1.0
-            self.rows.append(len(self.cum))
-        return first, n
+        self.number: dict[str, int] = {}
+        self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.rows = np.zeros(1, dtype=np.int64)
+        self.cum, self.back, self.ids = np.zeros(0), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def _add(self, chunks: list[str]) -> None:
+        joined = "".join(chunks)
+        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+        raw = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        # A space stands for the vocabulary's sign; that sign itself, in a text, matches nothing.
+        code = np.where(raw == 32, ord(_BLANK), np.where(raw == ord(_BLANK), 0x10FFFF + 1, raw))
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(len(code)) - np.repeat(begin, sizes)
+        left = np.repeat(sizes, sizes) - place
+        # All pieces that start at each place, by one step down the trie for all places at a time.
+        alive, state, depth = np.arange(len(code)), np.zeros(len(code), dtype=np.int64), 0
+        starts, lengths, ids = [], [], []
+        while len(alive):
+            key = state << 21 | code[alive + depth]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            alive, state = alive[on], self.to[at[on]]
+            depth += 1
+            found = self.piece[state]
+            some = found >= 0
+            starts.append(alive[some])
+            lengths.append(np.full(int(some.sum()), depth, dtype=np.int32))
+            ids.append(found[some])
+            more = left[alive] > depth
+            alive, state = alive[more], state[more]
+        # A character that is no piece is spelled: its edge holds the character's code, below zero.
+        single = np.zeros(len(code), dtype=bool)
+        single[starts[0]] = True
+        spelled = np.flatnonzero(~single)
+        if len(spelled):
+            starts.append(spelled)
+            lengths.append(np.ones(len(spelled), dtype=np.int32))
+            ids.append((-1 - raw[spelled]).astype(np.int32))
+        start, length, ids = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
+        end = start + length - 1  # the row: the character behind which the edge ends
+        order = np.lexsort((-length, end))
+        start, length, ids, end = start[order], length[order], ids[order], end[order]
+        c = -1 - ids[ids < 0]
+        w = np.empty(len(ids))
+        w[ids >= 0] = self.weight[ids[ids >= 0]]
+        w[ids < 0] = (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)) * self.weight[self.byte_id[0]]
+        rows = np.concatenate([np.searchsorted(end, np.arange(len(code))), [len(end)]])
+        # Forward, all chunks at a time: the sum over all ways up to each place.
+        total = np.zeros(len(code) + 1)  # by row
+        cum = np.empty(len(ids))
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by_place], np.arange(int(sizes.max()) + 1)).tolist()
+        inner = place[start] > 0
+        before = np.where(inner, start - 1, len(code))  # total stays 0 there
+        for lo, hi in zip(cuts, cuts[1:]):
+            r = np.sort(by_place[lo:hi])
+            n = rows[r + 1] - rows[r]
+            group = np.cumsum(n) - n
+            e = np.arange(int(n.sum())) + np.repeat(rows[r] - group, n)
+            logs = total[before[e]] + w[e]
+            top = np.maximum.reduceat(logs, group)
+            share = np.exp(logs - np.repeat(top, n))
+            whole = np.add.reduceat(share, group)
+            total[r] = top + np.log(whole)
+            running = np.cumsum(share / np.repeat(whole, n))
+            cum[e] = running - np.repeat(np.concatenate([[0.0], running])[group], n)
+        cum[rows[1:] - 1] = 2.0  # the last edge takes what is left
+        for i, c in enumerate(chunks, len(self.first)):
+            self.number[c] = i
+        self.first = np.concatenate([self.first, begin + len(self.rows) - 1])
+        self.size = np.concatenate([self.size, sizes])
+        self.rows = np.concatenate([self.rows, rows[1:] + len(self.cum)])
+        self.cum, self.back, self.ids = np.concatenate([self.cum, cum]), np.concatenate([self.back, length]), np.concatenate([self.ids, ids])
 
     def find(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.cum) > ROOM:
             self._clear()
-        number = self.number
-        for c in set(chunks).difference(number):
-            number[c] = self._add(c)
-            self.arrays = None
-        if self.arrays is None:
-            self.arrays = np.array(self.cum), np.array(self.back, dtype=np.int64), np.array([s[0] if len(s) == 1 else -1 for s in self.spelled], dtype=np.int32)
-        both = np.array([number[c] for c in chunks], dtype=np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        if new := list(set(chunks).difference(self.number)):
+            self._add(new)
+        at = np.array(list(map(self.number.__getitem__, chunks)), dtype=np.int64)
+        return self.first[at], self.size[at]
 
     def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """The ids of one drawn segmentation of each text."""
         cut = [_CHUNK.findall(t) for t in texts]
         counts = np.array([len(c) for c in cut], dtype=np.int64)
         first, left = self.find([c for part in cut for c in part])
-        left = left.copy()
-        cum, back, single = self.arrays
         seed = np.repeat(mix64(np.array(keys, dtype=np.int64).view(np.uint64)), counts)
         place = np.arange(len(left), dtype=np.uint64) - np.repeat((np.cumsum(counts) - counts).astype(np.uint64), counts)
         state = mix64(seed ^ mix64(place))
@@ -127,26 +162,30 @@ class Lattices:
         drawn = []
         open_ = np.arange(len(left))
         while len(open_):
-            state[open_] = mix64(state[open_] + GOLDEN)
-            u = (state[open_] >> np.uint64(11)) * 2.0**-53
-            row = first[open_] + left[open_] - 1
-            edge = np.minimum(np.searchsorted(cum, row + u, side="right"), len(cum) - 1)
+            state = mix64(state + GOLDEN)
+            u = (state >> np.uint64(11)) * 2.0**-53
+            edge = self.rows[first + left - 1]
+            late = np.flatnonzero(self.cum[edge] <= u)
+            while len(late):
+                edge[late] += 1
+                late = late[self.cum[edge[late]] <= u[late]]
             drawn.append((open_, edge))
             taken[open_] += 1
-            left[open_] -= back[edge]
-            open_ = open_[left[open_] > 0]
+            left = left - self.back[edge]
+            go = left > 0
+            open_, left, first, state = open_[go], left[go], first[go], state[go]
         ends = np.cumsum(taken)
         edges = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
         for step, (at, edge) in enumerate(drawn):
             edges[ends[at] - 1 - step] = edge
+        ids = self.ids[edges]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        out = []
-        for lo, hi in zip(upto, upto[1:]):
-            ids = single[edges[lo:hi]]
-            if len(ids) and ids.min() < 0:
-                ids = np.array([i for e in edges[lo:hi].tolist() for i in self.spelled[e]], dtype=np.int32)
-            out.append(ids)
-        return out
+        return [self._spelled(ids[lo:hi]) for lo, hi in zip(upto, upto[1:])]
+
+    def _spelled(self, ids: np.ndarray) -> np.ndarray:
+        if not len(ids) or ids.min() >= 0:
+            return ids
+        return np.array([i for x in ids.tolist() for i in ([x] if x >= 0 else self.byte_id[list(chr(-1 - x).encode())].tolist())], dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode()
@@ -164,7 +203,7 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None
         lattices = kept(Lattices, path, alpha)
         return lambda texts, keys: [give(lattices, t, ids) for t, ids in zip(texts, lattices.sample(texts, keys))]
 
-    return flat(map_text(view, "text", out, make, [id_col], ["key"], whole=True))
+    return flat(map_text(view, "text", out, make, [id_col], ["key"], whole=True, limit=BATCH))
 
 
 def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, alpha: float = ALPHA) -> DataFrame:
