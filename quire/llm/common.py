@@ -44,7 +44,7 @@ def quoted(name: str) -> str:
 
 
 def map_text(
-    df: DataFrame, text_col: str, out: T.StructType, make: Callable[[], Callable[..., tuple]], carry: list[str], more: list[str] = (), whole: bool = False
+    df: DataFrame, text_col: str, out: T.StructType, make: Callable[[], Callable[..., tuple]], carry: list[str], more: list[str] = (), whole: bool = False, limit: int = BATCH_BYTES
 ) -> DataFrame:
     """One row ``(carry struct, out struct)`` for each row of ``df``; ``make()`` runs once in each task and gives the function of a text
     and of the columns ``more``, or if ``whole`` of lists of these, to a list of tuples.
@@ -62,7 +62,7 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for big in batches:
-            for batch in slices(big, 1):
+            for batch in slices(big, 1, limit):
                 given = [c.to_pylist() for c in batch.columns[1:]]
                 rows = fn(*given) if whole else [fn(*x) for x in zip(*given)]
                 cols = list(zip(*rows)) if rows else [[] for _ in arrow]
@@ -73,14 +73,21 @@ def map_text(
 
 
 def kept(make: Callable, *args):
-    """What ``make(*args)`` gave before in this worker process, or gives now: vocabularies and their memories outlive a task."""
+    """What ``make(*args)`` gave before in this worker process, or gives now: a vocabulary and its memory outlive a
+    task. Only one is kept."""
     held = sys.__dict__.setdefault("_quire_kept", {})
     key = (make.__qualname__, args)
     if key not in held:
+        held.clear()
         held[key] = make(*args)
     return held[key]
 
 
+def forget() -> None:
+    """Frees what is kept, for tasks that need the room."""
+    sys.__dict__.get("_quire_kept", {}).clear()
+
+
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text; a longer text is a run of its own."""
     sizes = np.diff(np.frombuffer(batch.column(text_at).buffers()[1], dtype=offset_type(batch.column(text_at)))[batch.column(text_at).offset :][: batch.num_rows + 1])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, flat, map_text, quoted, slices  # noqa: F401
+from .common import cut, flat, forget, map_text, quoted
 
 #: A deal of more fingerprints is dealt again.
 HOT = 4096
@@ -240,7 +240,12 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row; the component's id is the smallest id in reach."""
     out = T.StructType([T.StructField("fp", T.LongType())])
-    prints = cut(flat(map_text(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "text", out, lambda: lambda t: (fingerprint(t),), ["id"])))
+
+    def make():
+        forget()
+        return lambda t: (fingerprint(t),)
+
+    prints = cut(flat(map_text(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "text", out, make, ["id"])))
     firsts = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
     named = components(link_prints(firsts.select("fp")))
     reach = firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mix64, quoted, shuffle_partitions
+from .common import forget, mix64, quoted, shuffle_partitions
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text to a pack, and words to a range of hash values, in a small corpus. Every pack asks every range, so
@@ -234,6 +234,7 @@ def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType
         return pa.table({"pack": pa.array([pack] * len(pairs), pa.int32()), "range": pa.array([p[0] for p in pairs], pa.int32()), "asked": pa.array([p[1] for p in pairs], pa.binary())})
 
     def probe(table: pa.Table) -> pa.Table:
+        forget()
         words = Words(_texts(table))
         _, key, flag, _ = rounds[0].first(words)
         keys, flags, twice, _ = _distinct(key, flag)
