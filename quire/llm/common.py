@@ -26,7 +26,7 @@ import quire
 cloudpickle.register_pickle_by_value(quire)
 
 #: Rows are handed on in batches of about so many bytes of text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 MIX_A, MIX_B, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

@@ -27,7 +27,7 @@ from .vocab import Encoder, public_path
 
 WINDOW = 2048
 #: Tokens that one task packs at a time.
-GROUP_TOKENS = 12_000_000
+GROUP_TOKENS = 5_000_000
 #: A gap of at most so many tokens is padded.
 GAP = 32
 
