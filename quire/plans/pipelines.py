@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from quire.checkpoints import cut
 from quire.config import Settings
 from quire.operators import enrich, filters, hierarchy, layout, markdown, match, order, thinning, toc, tree, zones
+from quire.schema import CANONICAL, normalise
 
 DOC = filters.DOC
 
@@ -16,6 +17,7 @@ DOC = filters.DOC
 def spatial_tree(elements: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Elements filtered, zoned, put in reading order, scored, checked against Markdown, merged if wanted, and made a tree."""
     s = settings
+    elements = normalise(elements).select(*CANONICAL)
     repeated = cut(filters.repetitions(elements, s.min_pages))
     stay = cut(filters.kept(elements, repeated=repeated, use_repeated=s.use_repeated, use_noise=s.use_noise, use_margin=s.use_margin))
     placed = cut(order.reading_order(zones.classified(stay, repeated), s.order))

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _table(**columns: str) -> T.StructType:
-    return T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in columns.items()))
 
 
 DOCUMENTS = "id string, filename string, file_type string, total_pages int, created_at timestamp, updated_at timestamp"
@@ -22,6 +17,7 @@ _NAMES = {
     "document_id": ((), "''"), "page_number": (("page",), "1"), "seq": (("sequence_order", "idx"), "0"), "label": ((), "'text'"), "text_content": (("text",), "''"),
     "x1": (("bbox_x1",), "0"), "y1": (("bbox_y1",), "0"), "x2": (("bbox_x2",), "0"), "y2": (("bbox_y2",), "0"),
 }
+CANONICAL = tuple(_NAMES)
 
 
 def normalise(elements: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,10 @@ def decoded(image: Column) -> Column:
     return F.unbase64(F.regexp_replace(image, r"^data:[^,]*,", ""))
 
 
-@F.pandas_udf("width int, height int")
+_SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+@F.pandas_udf(_SIZE)
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height of PNG, GIF or JPEG bytes, from their headers."""
     return pd.DataFrame([_size(bytes(c)) if c is not None else (None, None) for c in content], columns=["width", "height"])
