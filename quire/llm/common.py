@@ -14,17 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import quire
-
-# Functions go to the executors with their code, which need not have this package.
-cloudpickle.register_pickle_by_value(quire)
-
 #: Rows are handed on in batches of about so many bytes of text.
 BATCH_BYTES = 2 << 20
 
