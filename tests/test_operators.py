@@ -197,7 +197,7 @@ def test_loose_rows_become_canonical(spark):
 
 
 def test_stream(spark, tmp_path):
-    tag = "<|ref|>title<|/ref|><|det|>[[10,10,900,60]]<|/det|>\nA\n<|ref|>text<|/ref|><|det|>[[10,100,900,300]]<|/det|>\nbody"
+    tag = "<|ref|>title<|/ref|><|det|>[[10,10,900,60]]<|/det|>\nA\n<|ref|>text<|/ref|><|det|>[[10,800,900,900]]<|/det|>\nbody"
     spark.createDataFrame([("d", 1, tag, 1000, 1000)], streaming.PAGES).write.parquet(str(tmp_path / "in"))
     query = streaming.index_documents(streaming.arriving_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     query.awaitTermination(120)
