@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import kept, quoted, slices, staged
+from .common import BATCH_BYTES, kept, quoted, slices, staged
 from .vocab import Encoder, public_path
 
 WINDOW = 2048
@@ -167,7 +167,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _batch(rows, arrow)
 
         for big in batches:
-            for batch in slices(big, 1):
+            for batch in slices(big, 1, 2 * BATCH_BYTES):
                 names += batch.column(0).to_pylist()
                 for data in encoder(batch.column(1).to_pylist()):
                     held.append(np.concatenate([np.frombuffer(data, dtype="<u2"), end]))

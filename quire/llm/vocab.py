@@ -100,15 +100,18 @@ class Encoder:
         return out
 
     def _cut(self, text: str) -> list[str] | None:
-        if _RARE.search(text):
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
-        if not self.folds:
-            return _CHUNK.findall(text)
         try:
-            text.encode("latin-1")  # there, lower case depends on nothing else
-            return text.lower().split()
+            text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.split()
+            if _RARE.search(text):
+                return None
+            return text.split() if self.folds else _CHUNK.findall(text)
+        if "\x85" in text or "\xa0" in text:
+            return None
+        # Up to Latin-1, the lower case of a letter depends on nothing else.
+        return text.lower().split() if self.folds else _CHUNK.findall(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
