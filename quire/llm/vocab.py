@@ -39,29 +39,28 @@ class Memo:
         """A dictionary that holds the chunks and perhaps others, until the next call."""
         if self.room < 0:
             self.young, self.old, self.room = {}, self.young, MEMORY
-        young, old = self.young, self.old
-        todo, joined = {}, []
+        young, recall = self.young, self.old.get
+        todo: dict[str, None] = {}
+        joined = []
         for c in chunks.difference(young):
-            if (known := old.get(c)) is None:
-                core = c.rstrip(_MARKS)
-                if len(core) < len(c) and core.lstrip(" ").isalpha() and "İ" not in core:  # letters end where marks begin; that one is two in lower case
-                    joined.append((c, core, c[len(core) :]))
-                    continue
-                todo[c] = None
-            else:
+            if (known := recall(c)) is not None:
                 young[c] = known
+            elif c.isalpha() or (core := c.rstrip(_MARKS)) == c or not core.lstrip(" ").isalpha() or "İ" in core:
+                todo[c] = None
+            else:  # letters end where marks begin; the letter that is left out is two in lower case
+                joined.append((c, core, c[len(core) :]))
         for _, core, marks in joined:
             for part in (core, marks):
-                if part not in young and (known := old.get(part)) is not None:
-                    young[part] = known
-                elif part not in young:
-                    todo[part] = None
-        for c, ids in zip(todo, self.encode_all(list(todo))):
-            young[c] = ids
-            self.room -= 2 * len(c) + len(ids) + 220
+                if part not in young:
+                    if (known := recall(part)) is not None:
+                        young[part] = known
+                    else:
+                        todo[part] = None
+        ids = self.encode_all(list(todo))
+        young.update(zip(todo, ids))
         for c, core, marks in joined:
             young[c] = young[core] + young[marks]
-            self.room -= 2 * len(c) + len(young[c]) + 220
+        self.room -= 240 * (len(todo) + len(joined)) + 2 * sum(map(len, todo)) + sum(map(len, ids))
         return young
 
 
