@@ -33,6 +33,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so Arrow batches get fewer rows and bytes than Spark's defaults, unless the session says otherwise."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -45,6 +53,7 @@ def map_text(
 
     ``carry`` columns travel through unchanged, so their names can't clash with those of ``out``.
     """
+    small_batches(df.sparkSession)
     view = df.select(
         F.struct(*[F.col(quoted(c)) for c in carry]).alias("carry"),
         F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"),

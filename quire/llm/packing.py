@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BATCH_BYTES, kept, quoted, slices, staged
+from .common import BATCH_BYTES, kept, quoted, slices, small_batches, staged
 from .vocab import Encoder, public_path
 
 WINDOW = 2048
@@ -135,6 +135,7 @@ _PIECE = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.Lon
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids unless they aren't wanted."""
     path = vocabulary or public_path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     view = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     fields = [view.schema["id"], *(T.StructField(*f) for f in _PIECE), T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("offset", T.LongType())]
     if with_ids:

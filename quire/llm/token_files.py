@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, quoted, slices, staged
+from .common import kept, quoted, slices, small_batches, staged
 from .vocab import Encoder, public_path
 
 #: Tokens to a block, and to a frame about.
@@ -265,6 +265,7 @@ def decode_frame(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
     """The files, as rows (part, frame, before: tokens of the part's frames before, n_tokens, payload), already written to the shared folder."""
     path = vocabulary or public_path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     view = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"))
     size = view.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,7 +20,7 @@ _END = "<|endoftext|>"
 #: ASCII marks; a vocabulary's pattern always cuts between a run of letters and a run of these.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: So many bytes of chunks and ids are remembered in one Python worker.
-MEMORY = 72 << 20
+MEMORY = 64 << 20
 
 
 def public_path(name: str) -> str:
