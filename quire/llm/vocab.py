@@ -20,7 +20,7 @@ _END = "<|endoftext|>"
 #: ASCII marks; a vocabulary's pattern always cuts between a run of letters and a run of these.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: So many bytes of chunks and ids are remembered in one Python worker.
-MEMORY = 64 << 20
+MEMORY, PIECE_MEMORY = 76 << 20, 32 << 20
 
 
 def public_path(name: str) -> str:
@@ -128,14 +128,14 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         self.byte_ids = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.known: dict[str, bytes] = {}
-        self.room = MEMORY // 2
+        self.room = PIECE_MEMORY
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known = self.known
         if new := [w for w in set(words) if w not in known]:
             if self.room < 0:
                 known.clear()
-                self.room, new = MEMORY // 2, list(set(words))
+                self.room, new = PIECE_MEMORY, list(set(words))
             for w, ids in zip(new, self.model.encode(new, num_threads=1)):
                 known[w] = made = np.array(ids, dtype="<u2").tobytes()
                 self.room -= 2 * len(w) + len(made) + 220
