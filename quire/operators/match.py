@@ -38,6 +38,13 @@ def blended_level(md: Column, sp: Column, label: Column) -> Column:
     return F.when(sp.isNull(), md).when(F.abs(md - sp) > 1, mixed.cast("int")).otherwise(md)
 
 
+def fused(headers: DataFrame, best: DataFrame, spatial: DataFrame) -> DataFrame:
+    """``headers(idx, level)`` with the element that fits each best, where there is one, and the level that both make."""
+    found = best.withColumnRenamed("h_idx", "idx")
+    joined = headers.join(found, [DOC, "idx"], "left").join(spatial, [DOC, "page_number", "seq"], "left")
+    return joined.withColumn("level", blended_level(F.col("level"), F.col("spatial_level"), F.coalesce("label", F.lit("")))).withColumn("origin", F.when(F.col("match_score").isNull(), "markdown").otherwise("matched"))
+
+
 def implicit_sections(elements: DataFrame, headers: DataFrame) -> DataFrame:
     """Elements with a heading's label whose text is no header's title."""
     known = headers.select(DOC, F.lower(txt.stripped(F.col("title"))).alias("t")).distinct()
@@ -47,17 +54,24 @@ def implicit_sections(elements: DataFrame, headers: DataFrame) -> DataFrame:
 
 def parents_by_code(rows: DataFrame, by: list[str], code: str = "structure") -> DataFrame:
     """``rows(idx)`` with parent_idx: the last earlier row whose code is this one's without its last part (``1.2`` of ``1.2.3``), null if there is none."""
-    kids = rows.withColumn("up", F.regexp_extract(code, r"^(.*)\.[^.]*$", 1))
-    tops = rows.select(*by, F.col("idx").alias("p_idx"), F.col(code).alias("up"))
-    found = kids.where("up <> ''").join(tops, [*by, "up"]).where("p_idx < idx").groupBy(*by, "idx").agg(F.max("p_idx").alias("parent_idx"))
-    return rows.join(found, [*by, "idx"], "left")
+    up = F.regexp_extract(code, r"^(.*)\.[^.]*$", 1)
+    asked = rows.select(*by, "idx", F.when(up != "", up).alias("key"), F.lit(0).alias("own"))
+    offered = rows.select(*by, "idx", F.col(code).alias("key"), F.lit(1).alias("own"))
+    # Rows that offer a code and rows that ask for it, in order: a parent is the last offer before.
+    before = W.partitionBy(*by, "key").orderBy("idx").rangeBetween(W.unboundedPreceding, -1)
+    found = asked.where("key is not null").unionByName(offered).withColumn("parent_idx", F.max(F.when(F.col("own") == 1, F.col("idx"))).over(before))
+    return rows.join(found.where("own = 0 and parent_idx is not null").select(*by, "idx", "parent_idx"), [*by, "idx"], "left")
 
 
 def range_texts(nodes: DataFrame, pages: DataFrame, by: list[str], labelled: bool = False) -> DataFrame:
     """``nodes(start_index, end_index)`` with the texts of their pages joined, with page labels if wanted."""
     text = txt.page_label(F.col("text"), F.col("page_number")) if labelled else F.col("text")
     p = pages.select(*by, "page_number", text.alias("page_text"))
-    found = nodes.join(p, by).where("page_number between start_index and end_index").groupBy(*by, "idx").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))).alias("t"))
+    last = pages.groupBy(*by).agg(F.min("page_number").alias("_first"), F.max("page_number").alias("_last"))
+    start, stop = F.greatest("start_index", "_first"), F.least("end_index", "_last")
+    # Each range is spelt out as its pages, so that pages are found by equality; what lies outside the document isn't.
+    wanted = nodes.select(*by, "idx", "start_index", "end_index").join(last, by).where(start <= stop).select(*by, "idx", F.explode(F.sequence(start, stop)).alias("page_number"))
+    found = wanted.join(p, [*by, "page_number"]).groupBy(*by, "idx").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))).alias("t"))
     return nodes.join(found, [*by, "idx"], "left").withColumn("text", F.array_join(F.transform(F.coalesce("t", F.array()), lambda x: x["page_text"]), "")).drop("t")
 
 

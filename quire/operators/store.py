@@ -49,24 +49,14 @@ class Store:
 
     def delete_documents(self, ids: DataFrame, into: str) -> Store:
         """A store without these documents and all that hangs on them; anti-joins into a new folder, as files aren't changed in place."""
-        gone = ids.select(F.col("id").alias("document_id")).distinct()
-        pages, trees = self.read("pages"), self.read("tree_indices")
-        lost_pages = pages.join(gone, "document_id", "left_semi").select(F.col("id").alias("page_id"))
-        lost_trees = trees.join(gone, "document_id", "left_semi").select(F.col("id").alias("tree_index_id"))
         out = Store(self.spark, into)
-        keep = {
-            "documents": self.read("documents").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"),
-            "pages": pages.join(gone, "document_id", "left_anti"),
-            "layout_elements": self.read("layout_elements").join(lost_pages, "page_id", "left_anti"),
-            "tree_indices": trees.join(gone, "document_id", "left_anti"),
-            "tree_nodes": self.read("tree_nodes").join(lost_trees, "tree_index_id", "left_anti"),
-        }
+        keep = cascade({name: self.read(name) for name in TABLES}, ids)
         for name, rows in keep.items():
             out.append(name, rows)
         return out
 
     def document(self, document_id: str) -> DataFrame:
-        return self.read("documents").where(F.col("id") == document_id).limit(1)
+        return by_id(self.read("documents"), document_id)
 
     def list_documents(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return listed(self.read("documents"), limit, offset)
@@ -80,7 +70,45 @@ class Store:
 
     def nodes(self, tree_index_id: str, node_type: str | None = None) -> DataFrame:
         rows = self.read("tree_nodes").where(F.col("tree_index_id") == tree_index_id)
-        return rows if node_type is None else rows.where(F.col("node_type") == node_type)
+        return rows if node_type is None else of_type(rows, node_type)
+
+
+def of_type(rows: DataFrame, node_type: str, column: str = "node_type") -> DataFrame:
+    return rows.where(F.col(column) == node_type)
+
+
+def by_id(rows: DataFrame, value, column: str = "id") -> DataFrame:
+    """The row with this id, or none."""
+    return rows.where(F.col(column) == F.lit(value)).limit(1)
+
+
+def in_page_order(rows: DataFrame, by: str = "document_id") -> DataFrame:
+    """Elements with their places by page and number, and by page and height."""
+    place = lambda *order: F.row_number().over(W.partitionBy(by).orderBy(*order))
+    return rows.withColumn("stored_place", place("page_number", "seq")).withColumn("height_place", place("page_number", "y1", "seq"))
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """Elements as they are answered with: box as a struct, the 0 to 999 box null if any side of it is, a flag for crops."""
+    norm = ["norm_x1", "norm_y1", "norm_x2", "norm_y2"]
+    whole = F.col(norm[0]).isNotNull() & F.col(norm[1]).isNotNull() & F.col(norm[2]).isNotNull() & F.col(norm[3]).isNotNull()
+    crop = F.col("crop_image").isNotNull() if "crop_image" in rows.columns else F.lit(False)
+    out = rows.withColumn("bbox", F.struct("x1", "y1", "x2", "y2")).withColumn("bbox_norm", F.when(whole, F.struct(*[F.col(c).alias(c[5:]) for c in norm])))
+    return out.withColumn("has_crop_image", crop).drop("x1", "y1", "x2", "y2", *norm, "crop_image")
+
+
+def cascade(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables without these documents and all that hangs on them."""
+    gone = ids.select(F.col("id").alias("document_id")).distinct()
+    lost_pages = tables["pages"].join(gone, "document_id", "left_semi").select(F.col("id").alias("page_id"))
+    lost_trees = tables["tree_indices"].join(gone, "document_id", "left_semi").select(F.col("id").alias("tree_index_id"))
+    return {
+        "documents": tables["documents"].join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"),
+        "pages": tables["pages"].join(gone, "document_id", "left_anti"),
+        "layout_elements": tables["layout_elements"].join(lost_pages, "page_id", "left_anti"),
+        "tree_indices": tables["tree_indices"].join(gone, "document_id", "left_anti"),
+        "tree_nodes": tables["tree_nodes"].join(lost_trees, "tree_index_id", "left_anti"),
+    }
 
 
 def listed(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -51,6 +51,11 @@ def thinned(elements: DataFrame, multiplier: float | None = None) -> DataFrame:
     return merged(with_groups(elements, multiplier=multiplier))
 
 
+def thinned_top(nodes: DataFrame, multiplier: float | None = None) -> DataFrame:
+    """The nodes at the top of each tree, merged among themselves; lower ones are left to their own pass."""
+    return thinned(nodes.where("parent_idx is null"), multiplier)
+
+
 def stats(before: DataFrame, after: DataFrame) -> DataFrame:
     count = lambda df, n: df.groupBy(DOC).agg(F.count("*").alias(n))
     out = count(before, "n_before").join(count(after, "n_after"), DOC)

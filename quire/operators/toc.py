@@ -64,5 +64,6 @@ def accuracy(rows: DataFrame, by: list[str], pages: Column, flag: str = "correct
     return out.select(*by, F.when(F.col("last") < F.col("n") / 2, F.lit(0.0)).otherwise(F.col("a")).alias("accuracy"))
 
 
-def sampled(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.rand(seed)).limit(n)
+def sampled(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows by a hash of their key and the seed, the same however the rows are spread over tasks."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key).limit(n)

@@ -42,29 +42,50 @@ def with_ends(rows: DataFrame, by: list[str], idx: str = "idx", level: str = "le
 
 
 def subtree_tokens(rows: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """``rows(idx, end_idx)`` with tokens of own and all lower texts, joined by line ends, empty ones left out."""
-    length = F.length(F.col(text))
-    own = rows.select(*by, F.col("idx").alias("d_idx"), length.alias("n_chars")).where("n_chars > 0")
-    sums = rows.select(*by, "idx", "end_idx").join(own, by).where("d_idx >= idx and d_idx < end_idx").groupBy(*by, "idx").agg((F.sum("n_chars") + F.count("*") - 1).alias("chars"))
-    return rows.join(sums, [*by, "idx"], "left").withColumn("token_count", F.floor(F.coalesce("chars", F.lit(0)) / 4).cast("int")).drop("chars")
+    """``rows(idx, end_idx)`` with tokens of own and all lower texts, joined by line ends, empty ones left out.
+
+    Numbers run from 0 without gaps, as ``with_ends`` wants them: a subtree is the difference of two running sums.
+    """
+    length = F.coalesce(F.length(F.col(text)), F.lit(0))
+    so_far = F.sum("_size").over(W.partitionBy(*by).orderBy("idx"))
+    summed = rows.withColumn("_size", (length + F.when(length > 0, 1).otherwise(0)).cast("long")).withColumn("_upto", so_far)
+    last = summed.select(*by, (F.col("idx") + 1).alias("end_idx"), F.col("_upto").alias("_through"))
+    joined = F.greatest(F.col("_through") - F.col("_upto") + F.col("_size") - 1, F.lit(0))
+    return summed.join(last, [*by, "end_idx"], "left").withColumn("token_count", F.floor(joined / 4).cast("int")).select(*rows.columns, "token_count")
 
 
 def thin(rows: DataFrame, by: list[str], threshold: int, text: str = "text") -> DataFrame:
-    """Small subtrees merged into their top: rows below a small one go, and a small one that stays takes their texts."""
-    small = rows.where(F.col("token_count") < threshold).select(*by, F.col("idx").alias("s_idx"), F.col("end_idx").alias("s_end"))
-    below = rows.select(*by, "idx").join(small, by).where("idx > s_idx and idx < s_end").select(*by, "idx").distinct()
-    stay = rows.join(below, [*by, "idx"], "left_anti")
-    parts = rows.select(*by, F.col("idx").alias("d_idx"), F.col(text).alias("d_text"))
+    """Small subtrees merged into their top: rows below a small one go, and a small one that stays takes their texts.
+
+    Subtrees are nested or apart, so a row is below a small one if the furthest end of those before it lies behind it,
+    and the small one that it goes to is the last that stays.
+    """
+    order = W.partitionBy(*by).orderBy("idx")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    small = F.coalesce(F.col("token_count") < threshold, F.lit(False))
+    marked = rows.withColumn("_stays", F.coalesce(F.max(F.when(small, F.col("end_idx"))).over(before) <= F.col("idx"), F.lit(True)))
+    top = F.last(F.when(F.col("_stays") & small, F.struct("idx", "end_idx")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    owned = marked.withColumn("_top", top).where(F.col("_top.end_idx") > F.col("idx"))
     texts = (
-        stay.where(F.col("token_count") < threshold).select(*by, "idx", "end_idx").join(parts, by).where("d_idx >= idx and d_idx < end_idx")
-        .groupBy(*by, "idx").agg(F.array_sort(F.collect_list(F.struct("d_idx", "d_text"))).alias("t"))
+        owned.groupBy(*by, F.col("_top.idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("d_idx"), F.col(text).alias("d_text")))).alias("t"))
         .withColumn("joined", F.array_join(F.transform(F.filter("t", lambda x: F.trim(x["d_text"]) != ""), lambda x: x["d_text"]), "\n\n"))
     )
-    out = stay.join(texts.select(*by, "idx", "joined"), [*by, "idx"], "left")
+    out = marked.where("_stays").drop("_stays").join(texts.select(*by, "idx", "joined"), [*by, "idx"], "left")
     tokens = F.when(F.col("joined").isNotNull(), F.floor(F.length("joined") / 4).cast("int")).otherwise(F.col("token_count"))
     return out.withColumn("token_count", tokens).withColumn(text, F.coalesce("joined", text)).drop("joined")
 
 
+def without_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Nodes without some of their fields; names that they don't have are passed over."""
+    return rows.drop(*fields)
+
+
+def in_order(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """Nodes with these of their fields only, in this order, after their keys."""
+    have = set(rows.columns)
+    return rows.select(*by, *[f for f in fields if f in have and f not in by])
+
+
 def leaves(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(rows.where("parent_idx is not null").select(*by, F.col("parent_idx").alias("idx")).distinct(), [*by, "idx"], "left_anti")
 

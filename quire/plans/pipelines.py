@@ -63,11 +63,7 @@ def matched_tree(elements: DataFrame, lines: DataFrame) -> DataFrame:
     heads = markdown.header_offsets(lines, [DOC]).withColumn("idx", F.row_number().over(W.partitionBy(DOC).orderBy("line_num")) - 1)
     spatial = hierarchy.classified(elements).select(DOC, "page_number", "seq", "label", "y1", "spatial_level")
     best = match.best_matches(heads, elements)
-    joined = heads.join(best.withColumnRenamed("h_idx", "idx"), [DOC, "idx"], "left").join(spatial, [DOC, "page_number", "seq"], "left")
-    explicit = joined.select(
-        DOC, F.coalesce("page_number", F.lit(1)).alias("page_number"), F.col("idx").alias("seq"), "y1", "title",
-        match.blended_level(F.col("level"), F.col("spatial_level"), F.coalesce("label", F.lit(""))).alias("level"), F.when(F.col("match_score").isNull(), "markdown").otherwise("matched").alias("origin"),
-    )
+    explicit = match.fused(heads, best, spatial).select(DOC, F.coalesce("page_number", F.lit(1)).alias("page_number"), F.col("idx").alias("seq"), "y1", "title", "level", "origin")
     implicit = match.implicit_sections(elements, heads).join(spatial.select(DOC, "page_number", "seq", "spatial_level"), [DOC, "page_number", "seq"]).select(
         DOC, "page_number", "seq", "y1", F.col("text_content").alias("title"), F.col("spatial_level").alias("level"), F.lit("layout").alias("origin")
     )

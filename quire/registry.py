@@ -6,6 +6,7 @@ derives them the same way.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -657,3 +658,120 @@ def x3_x4_summaries(spark, sf_dir):
     from quire.operators import enrich
 
     return enrich.summaries(_tokens(spark, sf_dir)).select(*PAGE, "idx", "summary")
+
+
+# Rows chosen, ordered and put together
+
+
+@_query(_PG + f" SELECT document_id, page_number, seq, {_FORM} AS form FROM el")
+def t5_matching_forms(spark, sf_dir):
+    return layouts.elements(spark, sf_dir).select(*PAGE, "seq", txt.matching_form(F.col("text_content")).alias("form"))
+
+
+@_query(_PG + f""", tx AS (SELECT *, {_STRIP.format("text_content")} AS t FROM el) SELECT document_id, page_number, seq, regexp_matches(t, '(?i)^((Figure|Fig\\.?)\\s*\\d+|(Table|Tab\\.?)\\s*\\d+|(Hình)\\s*\\d+|(Bảng)\\s*\\d+|(Image|Img\\.?)\\s*\\d+|(Chart|Graph)\\s*\\d+|\\[\\d+\\])') AS caption, regexp_matches(t, '(?i)^(\\d{{1,4}}$|-\\s*\\d+\\s*-$|page\\s*\\d+|trang\\s*\\d+)') AS page_no FROM tx""")
+def t7_patterns(spark, sf_dir):
+    t = txt.stripped(F.col("text_content"))
+    return layouts.elements(spark, sf_dir).select(*PAGE, "seq", txt.any_of(t, txt.CAPTIONS).alias("caption"), txt.any_of(t, txt.PAGE_NUMBERS).alias("page_no"))
+
+
+@_query("SELECT doc_id, substring(sha256(source || '/' || doc_id), 1, 32) AS id FROM documents")
+def t19_stored_ids(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", store.stored_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
+
+
+@_query(_PG + " SELECT document_id, page_number, seq FROM el WHERE label = 'sub_title'")
+def p26_nodes_of_type(spark, sf_dir):
+    return store.of_type(layouts.elements(spark, sf_dir), "sub_title", "label").select(*PAGE, "seq")
+
+
+@_query(_PG + _SECTIONS + _TOK + " SELECT document_id, page_number, title, printf('%04d', row_number() OVER (PARTITION BY document_id, page_number ORDER BY idx)) AS node_id, level FROM tok")
+def p28_clean_structure(spark, sf_dir):
+    rows = tree.without_fields(pipelines.markdown_tree(_lines(spark, sf_dir), PAGE), ["text", "token_count"])
+    return tree.in_order(rows, PAGE, ["title", "node_id", "text", "summary", "level"])
+
+
+@_query(_PG + """ SELECT document_id, page_number, seq, CAST(to_json({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) AS VARCHAR) AS bbox, page_number % 2 = 1 AS has_norm, false AS has_crop_image FROM el""")
+def p29_responses(spark, sf_dir):
+    rows = store.element_rows(layouts.elements(spark, sf_dir), F.when(F.col("page_number") % 2 == 1, 1200), F.lit(5000))
+    return store.responses(rows).select(*PAGE, "seq", F.to_json("bbox").alias("bbox"), F.col("bbox_norm").isNotNull().alias("has_norm"), "has_crop_image")
+
+
+@_query(_PG + _PLACED + _HEADS + """, ms AS (SELECT h.document_id, h.idx, e.page_number, e.seq, CASE WHEN lower(title) = t THEN 0.9 WHEN (contains(t, lower(title)) OR contains(lower(title), t)) AND label IN ('title', 'sub_title') THEN 0.6 ELSE 0 END AS s
+FROM hs h JOIN (SELECT *, lower(""" + _STRIP.format("text_content") + """) AS t FROM el) e ON e.document_id = h.document_id WHERE title <> '' AND t <> ''), tp AS (SELECT *, row_number() OVER (PARTITION BY document_id, idx ORDER BY s DESC, page_number, seq) AS n FROM ms WHERE s > 0.2),
+fs AS (SELECT h.document_id, h.idx, h.idx % 5 AS m, """ + _LEVEL.format("round(score, 9)") + """ AS sp, coalesce(label, '') AS label, tp.s FROM hs h LEFT JOIN tp ON tp.document_id = h.document_id AND tp.idx = h.idx AND n = 1 LEFT JOIN lv ON lv.document_id = tp.document_id AND lv.page_number = tp.page_number AND lv.seq = tp.seq)
+SELECT document_id, idx, CASE WHEN s IS NULL THEN m WHEN abs(m - sp) > 1 THEN CAST(trunc(CASE WHEN label IN ('title', 'sub_title') THEN m * 0.6::DOUBLE + sp * 0.4::DOUBLE ELSE m * 0.4::DOUBLE + sp * 0.6::DOUBLE END) AS INT) ELSE m END AS level, CASE WHEN s IS NULL THEN 'markdown' ELSE 'matched' END AS origin FROM fs""")
+def j11_fused_headers(spark, sf_dir):
+    el, heads = _heads(spark, sf_dir)
+    spatial = hierarchy.levels(_placed(spark, sf_dir)).select(*PAGE, "seq", "label", geo.level_of(F.round("spatial_score", 9)).alias("spatial_level"))
+    return match.fused(heads.withColumn("level", F.col("idx") % 5), match.best_matches(heads, el), spatial).select(DOC, "idx", "level", "origin")
+
+
+@_query(_PG + _TREE + ", tops AS (SELECT * FROM par WHERE parent_idx IS NULL)" + re.sub(r"\bel\b", "tops", _GAP) + " SELECT document_id, page_number, CAST(min(seq) AS INT) AS seq, CAST(count(*) AS INT) AS merged_from FROM gg GROUP BY document_id, page_number, group_id")
+def w7_thinned_top(spark, sf_dir):
+    return thinning.thinned_top(_nodes(spark, sf_dir)).select(*PAGE, F.col("seq").cast("int").alias("seq"), F.col("merged_from").cast("int").alias("merged_from"))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
+def o3_by_id(spark, sf_dir):
+    return store.by_id(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), 7, "c_custkey")
+
+
+@_query(_PG + " SELECT document_id, page_number, seq, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, seq) AS INT) AS stored_place, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, y1, seq) AS INT) AS height_place FROM el")
+def o4_o6_places(spark, sf_dir):
+    return store.in_page_order(layouts.elements(spark, sf_dir)).select(*PAGE, "seq", "stored_place", "height_place")
+
+
+@_query(_PG + """, parts AS (SELECT document_id, page_number, seq, NULL AS y1, 0 AS part FROM el WHERE label = 'title' UNION ALL SELECT document_id, page_number, seq, y1, 1 AS part FROM el WHERE label <> 'title')
+SELECT document_id, page_number, seq, part, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, coalesce(y1, 0), part, seq) - 1 AS INT) AS idx FROM parts""")
+def o5_u1_sorted_sections(spark, sf_dir):
+    el = layouts.elements(spark, sf_dir)
+    rows = match.sorted_sections(el.where("label = 'title'").select(*PAGE, "seq"), el.where("label <> 'title'").select(*PAGE, "seq", "y1"))
+    return rows.select(*PAGE, "seq", "part", "idx")
+
+
+@_query("SELECT o_orderkey FROM orders ORDER BY md5('3/' || o_orderkey), o_orderkey LIMIT 40")
+def o8_sampled(spark, sf_dir):
+    return toc.sampled(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), 40, "o_orderkey", 3)
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def u2_difference(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(orders, "c_custkey", "left_anti")
+
+
+@_query("""WITH p AS (SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT min(source) FROM documents))
+SELECT 'documents' AS name, count(DISTINCT source) AS n FROM p UNION ALL SELECT 'pages', count(*) FROM p UNION ALL SELECT 'layout_elements', count(*) FROM p UNION ALL SELECT 'tree_indices', count(DISTINCT source) FROM p UNION ALL SELECT 'tree_nodes', count(DISTINCT source) FROM p""")
+def s10_cascade(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    sources = docs.select(F.col("source").alias("id")).distinct()
+    tables = {
+        "documents": sources, "pages": docs.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id")), "layout_elements": docs.select(F.col("doc_id").alias("page_id")),
+        "tree_indices": sources.select(F.concat(F.lit("t"), "id").alias("id"), F.col("id").alias("document_id")), "tree_nodes": sources.select(F.concat(F.lit("t"), "id").alias("tree_index_id")),
+    }
+    counts = None
+    for name, rows in store.cascade(tables, sources.agg(F.min("id").alias("id"))).items():
+        n = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
+_TITLED = """, x AS (SELECT k, idx, page, physical_index, page % 10 AS title, CASE idx % 3 WHEN 1 THEN CAST(idx % 4 AS VARCHAR) WHEN 2 THEN (idx - 1) % 4 || '.' || idx % 2 ELSE (idx - 2) % 4 || '.' || (idx - 1) % 2 || '.1' END AS structure FROM t),
+d AS (SELECT a.k, b.physical_index - a.page AS d, count(*) AS n, min(a.idx) AS f FROM x a JOIN x b ON a.k = b.k AND a.title = b.title AND b.physical_index >= 1 GROUP BY 1, 2),
+o AS (SELECT k, d AS off FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, f, d) AS r FROM d) WHERE r = 1),
+v AS (SELECT x.k, idx, structure, CAST(title AS VARCHAR) AS title, CAST(page + off AS INT) AS p FROM x JOIN o USING (k) WHERE page + off BETWEEN 1 AND 45),
+w AS (SELECT * FROM v UNION ALL SELECT k, -1, '0', 'Preface', 1 FROM (SELECT k, arg_min(p, idx) AS p FROM v GROUP BY 1) WHERE p > 1)"""
+
+
+@_query(_TOC + _TITLED + r""" SELECT k, idx, title, p AS start_index, coalesce(lead(p) OVER (PARTITION BY k ORDER BY idx), 45) AS end_index,
+(SELECT CAST(max(u.idx) AS INT) FROM w u WHERE u.k = w.k AND u.idx < w.idx AND u.structure <> '' AND u.structure = regexp_extract(w.structure, '^(.*)\.[^.]*$', 1)) AS parent_idx FROM w""")
+def c5_toc_tree(spark, sf_dir):
+    code = F.expr("CASE idx % 3 WHEN 1 THEN CAST(idx % 4 AS STRING) WHEN 2 THEN concat((idx - 1) % 4, '.', idx % 2) ELSE concat((idx - 2) % 4, '.', (idx - 1) % 2, '.1') END")
+    rows = _toc(spark, sf_dir).withColumn("title", (F.col("page") % 10).cast("string")).withColumn("structure", code)
+    logical = rows.select("k", "idx", "structure", "title", "page")
+    return pipelines.toc_tree(logical, rows.select("k", "title", "physical_index"), ["k"], F.lit(45)).select("k", "idx", "title", "start_index", "end_index", "parent_idx")
+
+
+@_query()
+def c6_index_summary(spark, sf_dir):
+    return pipelines.tree_summary(flagship(spark, sf_dir))
