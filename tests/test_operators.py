@@ -211,3 +211,39 @@ def test_settings_of_the_tree(spark):
     thin = pipelines.spatial_tree(el, Settings(use_thinning=True, adaptive=True, order="document"))
     assert 0 < thin.count() < len(rows)
     assert isinstance(thin.toPandas(), pd.DataFrame)
+
+
+def test_sample_does_not_depend_on_tasks(spark):
+    from quire.operators import toc
+
+    rows = spark.range(200)
+    one = {r.id for r in toc.sampled(rows.repartition(1), 20, "id", 5).collect()}
+    assert len(one) == 20 and one == {r.id for r in toc.sampled(rows.repartition(7), 20, "id", 5).collect()}
+    assert one != {r.id for r in toc.sampled(rows, 20, "id", 6).collect()}
+
+
+def test_ranges_beyond_the_document(spark):
+    from quire.operators import match
+
+    pages = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b"), ("d", 4, "c")], "k string, page_number int, text string")
+    nodes = spark.createDataFrame([("d", 0, 1, 1_000_000_000), ("d", 1, 2, 3), ("d", 2, 9, 12), ("d", 3, 3, 1), ("e", 4, 1, 2)], "k string, idx int, start_index int, end_index int")
+    got = {r.idx: r.text for r in match.range_texts(nodes, pages, ["k"]).collect()}
+    assert got == {0: "abc", 1: "b", 2: "", 3: "", 4: ""}
+
+
+def test_thinning_nested_small_subtrees(spark):
+    from quire.operators import tree
+
+    rows = spark.createDataFrame(
+        [("d", 0, 5, 900, "top"), ("d", 1, 4, 40, "one"), ("d", 2, 4, 20, None), ("d", 3, 4, 10, "three"), ("d", 4, 5, 500, "four")],
+        "k string, idx int, end_idx int, token_count int, text string",
+    )
+    got = {r.idx: (r.text, r.token_count) for r in tree.thin(rows, ["k"], 100).collect()}
+    assert got == {0: ("top", 900), 1: ("one\n\nthree", 2), 4: ("four", 500)}
+
+
+def test_parents_by_code_are_the_last_before(spark):
+    from quire.operators import match
+
+    rows = spark.createDataFrame([("d", 1, "1"), ("d", 2, "1.1"), ("d", 3, "1"), ("d", 4, "1.2"), ("d", 5, "2.1"), ("d", 6, "")], "k string, idx int, structure string")
+    assert {r.idx: r.parent_idx for r in match.parents_by_code(rows, ["k"]).collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None}
