@@ -11,7 +11,9 @@ query goes to the slabs that hold probed buckets, and of each come its nearest o
 
 Rows whose vector is null, zero or holds a null, NaN or infinity take no part, nor do rows without an
 id. Of rows with the same id and vector each counts once; vectors must be of one length, others take no part.
-The number of projections follows the logarithm of the number of distinct vectors: small tables are searched whole.
+The number of projections follows the logarithm of the number of distinct vectors, but is lowered until the probes
+reach the true neighbours of a sample of queries, found by an exact pass, often enough: with more vectors the buckets grow
+then, not the share that is missed. Queries that still find fewer than k others are searched exactly, block by block.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .common import cut, mix64, quoted
 TABLES, PROBES, WIDTH, SEED = 12, 1200, 2.0, 20240521
 #: Vectors of one table to a slab.
 SLAB_ROWS = 16_000
+#: The share of a sample's true neighbours that the probes must reach, and the queries of that sample.
+REACH, SAMPLE = 0.95, 200
 
 
 def perturbations(m: int, most: int) -> np.ndarray:
@@ -83,6 +87,26 @@ class Hashes:
         return self.keys(cell + self.template @ step[order], table)
 
 
+def reached(h: Hashes, pairs: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The share of (query, its neighbours as rows), all of them unit vectors, that some table's probes reach."""
+    hit = total = 0
+    for q, near in pairs:
+        found = np.zeros(len(near), dtype=bool)
+        for t in range(h.tables):
+            found |= np.isin(h.keys(np.floor(h.places(near, t)), t), h.probes(q, t))
+        hit += int(found.sum())
+        total += len(near)
+    return hit / total if total else 1.0
+
+
+def projections(dim: int, count: int, pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, probes: int, width: float, seed: int) -> int:
+    """As many as the logarithm of the number of vectors gives, or the most below that with which the probes reach enough of ``pairs``."""
+    m = min(40, max(1, round(math.log2(count)) - 4))
+    while m > 1 and reached(Hashes(dim, m, tables, probes, width, seed), pairs) < REACH:
+        m -= 1
+    return m
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Of each row with ``q``, summed in the same order wherever it is computed."""
     return (x * q).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((q * q).sum())
@@ -110,14 +134,51 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
     first = usable.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = cut(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     count = entries.count()
-    m = min(40, max(1, round(math.log2(count)) - 4))
-    slabs = max(1, math.ceil(count / SLAB_ROWS))
-    make = lambda: Hashes(dim, m, tables, probes, width, seed)
     id_type = rows.schema[id_col].dataType
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
+    # A vector that many queries hold is searched once, in the name of the smallest of them.
+    queries = usable.where(is_query(F.col("id"))).distinct()
+    named = cut(queries.groupBy("v").agg(F.min("id").alias("q")))
+    sample = np.array([r["v"] for r in named.orderBy(F.xxhash64("q")).limit(SAMPLE).collect()]).reshape(-1, dim)
+    sample = unit(sample)
+
+    def closest(batches):
+        """Of each task the k + 1 entries nearest to each vector of the sample, which is one of them itself."""
+        held = None
+        for batch in batches:
+            x = unit(_matrix(pa.Table.from_batches([batch]).column("v"), dim))
+            rough = sample @ x.T
+            most = min(k + 1, len(x))
+            at = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+            now = np.take_along_axis(rough, at, 1), x[at]
+            if held is not None:
+                now = np.concatenate([held[0], now[0]], 1), np.concatenate([held[1], now[1]], 1)
+                at = np.argsort(-now[0], axis=1)[:, : k + 1]
+                now = np.take_along_axis(now[0], at, 1), np.take_along_axis(now[1], at[:, :, None], 1)
+            held = now
+        if held is not None:
+            n = held[0].shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(sample), dtype=np.int32), n)), pa.array(held[0].ravel()), pa.array(list(held[1].reshape(-1, dim)), pa.list_(pa.float64()))], names=["i", "score", "u"]
+            )
+
+    pairs = []
+    if len(sample):
+        first_k = Window.partitionBy("i").orderBy(F.desc("score"))
+        near = entries.select("v").mapInArrow(closest, "i int, score double, u array<double>").withColumn("n", F.row_number().over(first_k)).where(F.col("n").between(2, k + 1))
+        true: dict[int, list] = {}
+        for r in near.collect():
+            true.setdefault(r["i"], []).append(r["u"])
+        pairs = [(sample[i], np.array(u)) for i, u in true.items()]
+    m = projections(dim, count, pairs, tables, probes, width, seed)
+    slabs = max(1, math.ceil(count / SLAB_ROWS))
+    # With few projections a bucket may be more than a slab: it is dealt to as many. The likeliest cell of a projection holds some 0.6 of unrelated vectors.
+    deals = min(slabs, max(1, math.ceil(count * 0.6**m / SLAB_ROWS)))
+    make = lambda: Hashes(dim, m, tables, probes, width, seed)
+
     def post(batches):
         h = make()
         for batch in batches:
@@ -125,7 +186,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
             x = unit(_matrix(table.column("v"), dim))
             for t in range(h.tables):
                 key = h.keys(np.floor(h.places(x, t)), t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array((key % np.uint64(slabs)).astype(np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], names=["t", "slab", "key", "v", "ids"])
+                deal = np.arange(len(x), dtype=np.uint64) % np.uint64(deals)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(((key % np.uint64(slabs) + deal) % np.uint64(slabs)).astype(np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], names=["t", "slab", "key", "v", "ids"])
 
     def probe(batches):
         h = make()
@@ -137,6 +199,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
                 for t in range(h.tables):
                     keys = h.probes(u, t)
                     at = (keys % np.uint64(slabs)).astype(np.int64)
+                    if deals > 1:
+                        keys, at = np.tile(keys, deals), ((at[None] + np.arange(deals)[:, None]) % slabs).ravel()
                     for s in np.unique(at).tolist():
                         out["t"].append(t)
                         out["slab"].append(s)
@@ -155,12 +219,15 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
             key, x, ids = key[order], _matrix(held.column("v"), dim)[order], held.column("ids").take(pa.array(order)).to_pylist()
             norm = unit(x)
             for q, qv, keys in zip(asked.column("q").to_pylist(), _matrix(asked.column("qv"), dim), asked.column("keys").to_pylist()):
-                keys = np.array(keys, dtype=np.int64).view(np.uint64)
-                lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-                some = np.flatnonzero(hi > lo)
-                if not len(some):
-                    continue
-                at = np.concatenate([np.arange(lo[i], hi[i]) for i in some])
+                if keys is None:  # all that the slab holds
+                    at = np.arange(len(key))
+                else:
+                    keys = np.array(keys, dtype=np.int64).view(np.uint64)
+                    lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
+                    some = np.flatnonzero(hi > lo)
+                    if not len(some):
+                        continue
+                    at = np.concatenate([np.arange(lo[i], hi[i]) for i in some])
                 rough = norm[at] @ qv
                 if len(at) > 2 * k + 8:  # more than can be needed, by a measure that may differ in the last digits
                     at = at[np.argpartition(-rough, 2 * k + 8)[: 2 * k + 8]]
@@ -172,13 +239,21 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
         return pa.table({"q": pa.array(q_out, asked.schema.field("q").type), "id": pa.array(ids_out, asked.schema.field("q").type), "score": pa.array(score_out, pa.float64())})
 
     index = entries.mapInArrow(post, T.StructType([T.StructField("t", T.IntegerType()), T.StructField("slab", T.IntegerType()), T.StructField("key", T.LongType()), *entries.schema]))
-    # A vector that many queries hold is searched once, in the name of the smallest of them.
-    queries = usable.where(is_query(F.col("id"))).distinct()
-    named = queries.groupBy("v").agg(F.min("id").alias("q"))
     asked = named.mapInArrow(probe, T.StructType([T.StructField("t", T.IntegerType()), T.StructField("slab", T.IntegerType()), T.StructField("q", id_type), T.StructField("qv", T.ArrayType(T.DoubleType())), T.StructField("keys", T.ArrayType(T.LongType()))]))
-    met = index.groupBy("t", "slab").cogroup(asked.groupBy("t", "slab")).applyInArrow(search, T.StructType([T.StructField("q", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]))
+    found_type = T.StructType([T.StructField("q", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    merged = met.dropDuplicates(["q", "id"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "id", "score")
+
+    def merge(met: DataFrame) -> DataFrame:
+        return met.dropDuplicates(["q", "id"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "id", "score")
+
+    merged = cut(merge(index.groupBy("t", "slab").cogroup(asked.groupBy("t", "slab")).applyInArrow(search, found_type)))
+    # Each vector is in one slab of the first table, so all slabs of that are the whole.
+    enough = merged.groupBy("q").count().where(F.col("count") > k).select("q")
+    short = cut(named.join(enough, "q", "left_anti"))
+    if not short.isEmpty():
+        everywhere = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "q", F.col("v").alias("qv"), F.lit(None).cast("array<bigint>").alias("keys"))
+        whole = index.where("t = 0").groupBy("t", "slab").cogroup(everywhere.groupBy("t", "slab")).applyInArrow(search, found_type)
+        merged = merge(whole.unionByName(merged))
     own = queries.join(named, "v").select(F.col("id").alias("query_id"), "q")
     ranked = own.join(merged, "q").where(F.col("query_id") != F.col("id"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

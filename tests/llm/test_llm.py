@@ -311,6 +311,44 @@ def test_op10_recall(spark):
     assert hit / (5 * len(range(0, len(x), 50))) >= 0.9
 
 
+def test_op10_projections_stay_few_enough_in_large_tables():
+    """Neighbours as near as those of unrelated vectors in a table of three millions; the logarithm alone gives 18 projections."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(40):
+        q, away = rng.normal(size=64), rng.normal(size=(5, 64))
+        q /= np.linalg.norm(q)
+        away -= (away @ q)[:, None] * q
+        away /= np.linalg.norm(away, axis=1)[:, None]
+        pairs.append((q, 0.56 * q + np.sqrt(1 - 0.56**2) * away))
+    set_ = (ann.TABLES, ann.PROBES, ann.WIDTH, ann.SEED)
+    m = ann.projections(64, 3_000_000, pairs, *set_)
+    assert m < 18 and ann.reached(ann.Hashes(64, m, *set_), pairs) >= 0.9
+
+
+def test_op10_short_queries_are_searched_whole(spark, monkeypatch):
+    """With one probe of one table, and no lowering of the projections, most queries miss."""
+    monkeypatch.setattr(ann, "REACH", 0.0)
+    monkeypatch.setattr(ann, "SLAB_ROWS", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(600)]
+    out = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, tables=1, probes=1, width=0.2).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    assert all(len(v) == 5 for v in out.values()) and dict(out) == brute_neighbours(rows)
+
+
+def test_op10_dealt_buckets(spark, monkeypatch):
+    """Slabs of few vectors, so that a bucket is dealt to several of them."""
+    monkeypatch.setattr(ann, "SLAB_ROWS", 20)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    out = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    assert dict(out) == brute_neighbours(rows)
+
+
 def test_vocabulary_memory_changes_no_ids():
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "B", "'s", "É", "1", "23", "...", "中", "\r\n", "\xa0", "İ", "ß", "👍", "́", "<|endoftext|>", "\x00", "Σ", "\x1c", "²", "!", "µ"]
