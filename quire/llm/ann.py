@@ -229,8 +229,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
                         continue
                     at = np.concatenate([np.arange(lo[i], hi[i]) for i in some])
                 rough = norm[at] @ qv
-                if len(at) > 2 * k + 8:  # more than can be needed, by a measure that may differ in the last digits
-                    at = at[np.argpartition(-rough, 2 * k + 8)[: 2 * k + 8]]
+                if len(at) > k + 1:  # all that may be among the first, by a measure that may differ in the last digits
+                    at = at[rough >= np.partition(rough, len(at) - k - 1)[len(at) - k - 1] - 1e-9 * np.sqrt((qv * qv).sum())]
                 score = cosines(x[at], qv)
                 found = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist()) for i in ids[a])[: k + 1]
                 q_out += [q] * len(found)

@@ -349,6 +349,14 @@ def test_op10_dealt_buckets(spark, monkeypatch):
     assert dict(out) == brute_neighbours(rows)
 
 
+def test_op10_proportional_vectors_tie(spark):
+    """Entries of equal cosine by the dozen, in an order that isn't that of the ids."""
+    away = np.random.default_rng(4).permutation(60)
+    rows = [(0, [1.0, 2.0, 3.0, 4.0])] + [(1 + int(i), [float(2.0 ** (j + 1) * c) for c in (1, 2, 3, 4)]) for j, i in enumerate(away)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert [r["vec_id"] for r in ann.nearest(df, lambda i: i == 0).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_vocabulary_memory_changes_no_ids():
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "B", "'s", "É", "1", "23", "...", "中", "\r\n", "\xa0", "İ", "ß", "👍", "́", "<|endoftext|>", "\x00", "Σ", "\x1c", "²", "!", "µ"]
