@@ -353,7 +353,12 @@ def g4_g6_reading_order(spark, sf_dir):
 def _nodes(spark, sf_dir):
     level = F.expr("CASE label WHEN 'title' THEN 0 WHEN 'sub_title' THEN 2 WHEN 'table' THEN 4 WHEN 'image' THEN 3 ELSE 5 END")
     el = layouts.elements(spark, sf_dir).withColumn("idx", (F.row_number().over(W.partitionBy(DOC).orderBy("page_number", "seq")) - 1).cast("int")).withColumn("level", level)
-    return tree.with_parents(el, [DOC]).withColumn("title", F.left(F.col("text_content"), F.lit(20)))
+    return tree.with_parents(el, [DOC]).withColumn("title", F.col("text_content"))
+
+
+def _cut_title(rows):
+    """The title as the SQL of outlines and summary lines has it: its first 20 characters."""
+    return rows.withColumn("title", F.left(F.col("title"), F.lit(20)))
 
 
 _DEPTHS = _TREE + ", dp AS (SELECT document_id, idx, parent_idx, 0 AS depth FROM par WHERE parent_idx IS NULL UNION ALL SELECT p.document_id, p.idx, p.parent_idx, d.depth + 1 FROM par p JOIN dp d ON d.document_id = p.document_id AND d.idx = p.parent_idx)"
@@ -382,13 +387,13 @@ def r2_w19_node_ids(spark, sf_dir):
 
 @_query(_RPG + _DEPTHS + ", o AS (SELECT d.document_id, d.idx, d.depth, n.text_content[1:20] AS title FROM dp d JOIN nodes n USING (document_id, idx)) SELECT document_id, string_agg(repeat('  ', depth) || title, chr(10) ORDER BY idx) AS outline, string_agg(repeat('#', LEAST(depth + 1, 6)) || ' ' || title, chr(10) || chr(10) ORDER BY idx) AS markdown FROM o GROUP BY 1")
 def r5_r6_outline_and_markdown(spark, sf_dir):
-    rows = _nodes(spark, sf_dir)
+    rows = _cut_title(_nodes(spark, sf_dir))
     return tree.outline(rows, [DOC]).join(tree.as_markdown(rows, [DOC]), DOC)
 
 
 @_query(_PG + _TREE + " SELECT document_id, string_agg('- ' || text_content[1:20] || ': ' || text_content[1:40], chr(10) ORDER BY idx) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS n FROM par) WHERE n <= 20 GROUP BY 1")
 def o7_r7_summary_lines(spark, sf_dir):
-    return tree.summary_lines(_nodes(spark, sf_dir).withColumn("summary", F.left(F.col("text_content"), F.lit(40))), [DOC])
+    return tree.summary_lines(_cut_title(_nodes(spark, sf_dir)).withColumn("summary", F.left(F.col("text_content"), F.lit(40))), [DOC])
 
 
 @_query()

@@ -121,6 +121,20 @@ def test_nested_json(spark):
     assert json.loads(made) == [{"title": "a", "children": [{"title": 'b"', "children": [{"title": "c"}]}]}, {}]
 
 
+def test_nested_json_has_whole_titles(spark):
+    import json
+
+    from quire import registry
+    from quire.sources import layouts
+
+    def titles(nodes):
+        return [t for n in nodes for t in (n["title"], *titles(n.get("children", [])))]
+
+    data = "/root/testdata/sf0.001"
+    made = [t for r in registry.queries()["r1_r4_r9_nested_json"](spark, data).collect() for t in titles(json.loads(r["tree"]))]
+    assert sorted(made) == sorted(r["text_content"] for r in layouts.elements(spark, data).select("text_content").collect())
+
+
 def test_markdown_sections(spark):
     text = "before\n# A\nx\n```\n# no\n```\n  ## indented\n## B\ny\n\n"
     lines = markdown.numbered_lines(spark.createDataFrame([("d", text)], "document_id string, text string"), ["document_id"])
