@@ -119,10 +119,12 @@ def summary_lines(rows: DataFrame, by: list[str], limit: int = 20) -> DataFrame:
     return rows.where("summary is not null").groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(line)), 1, limit).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("lines"))
 
 
-def nested_json(rows: DataFrame, by: list[str], fields: list[str], depths: int = 7) -> DataFrame:
-    """Each tree as nested JSON text, built from the lowest depth up; null fields and empty lists of children are left out."""
+def nested_json(rows: DataFrame, by: list[str], fields: list[str], depths: int | None = None) -> DataFrame:
+    """Each tree as nested JSON text, built from the lowest depth of the data up, or from the last of ``depths``; null fields and empty lists of children are left out."""
     empty = F.array().cast("array<string>")
     now = rows.select(*by, "idx", "parent_idx", "depth", *fields)
+    if depths is None:
+        depths = max(0, now.agg(F.max("depth")).first()[0] or 0) + 1
     done = None
     for d in range(depths - 1, -1, -1):
         here = now.where(F.col("depth") == d)

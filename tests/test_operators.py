@@ -121,6 +121,18 @@ def test_nested_json(spark):
     assert json.loads(made) == [{"title": "a", "children": [{"title": 'b"', "children": [{"title": "c"}]}]}, {}]
 
 
+def test_nested_json_of_deep_trees(spark):
+    import json
+
+    rows = spark.createDataFrame([("d", i, i - 1 if i else None, i, f"t{i}") for i in range(10)], "document_id string, idx int, parent_idx int, depth int, title string")
+    now, seen = json.loads(tree.nested_json(rows, ["document_id"], ["title"]).first()["tree"]), []
+    while now:
+        seen.append(now[0]["title"])
+        now = now[0].get("children")
+    assert seen == [f"t{i}" for i in range(10)]
+    assert tree.nested_json(rows.where("false"), ["document_id"], ["title"]).count() == 0
+
+
 def test_nested_json_has_whole_titles(spark):
     import json
 
