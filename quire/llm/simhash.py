@@ -237,28 +237,42 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for every row; the component's id is the smallest id in reach."""
+def _text_hash(id_col: str, text_col: str):
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit("")))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, more: dict | None = None) -> DataFrame:
+    """(id, fp, root, component_id) and the columns ``more`` for every row; a component's root is its own, the smallest id in reach need not be."""
     out = T.StructType([T.StructField("fp", T.LongType())])
 
     def make():
         forget()
         return lambda t: (fingerprint(t),)
 
-    prints = cut(flat(map_text(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "text", out, make, ["id"])))
+    prints = cut(flat(map_text(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), *[c.alias(n) for n, c in (more or {}).items()]), "text", out, make, ["id", *(more or {})])))
     firsts = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
     named = components(link_prints(firsts.select("fp")))
     reach = firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = reach.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = reach.join(best, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
+    labels = reach.join(best, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) for every row; the component's id is the smallest id in reach."""
+    return _labelled(docs, id_col, text_col).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id. Rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    stay = groups.where(F.col(quoted(id_col)) == F.col("component_id")).select(id_col).distinct()
-    with_id = docs.where(F.col(quoted(id_col)).isNotNull())
-    return with_id.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(quoted(id_col)).isNull()))
+    """One row of each group of near-duplicates: that with the smallest id, of several that share it the one with the smallest hash of its text.
+
+    Rows that share an id but lie in different groups all stay, and so do rows without an id.
+    """
+    groups = _labelled(docs, id_col, text_col, {"_hash": _text_hash(id_col, text_col)})
+    stay = groups.where(F.col("id") == F.col("component_id")).groupBy("root").agg(F.min("_hash").alias("_hash"), F.first("id").alias(id_col)).select(id_col, "_hash")
+    with_id = docs.where(F.col(quoted(id_col)).isNotNull()).withColumn("_hash", _text_hash(id_col, text_col))
+    kept = with_id.join(stay, [id_col, "_hash"], "left_semi").dropDuplicates([id_col, "_hash"])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(quoted(id_col)).isNull()))

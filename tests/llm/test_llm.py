@@ -166,6 +166,14 @@ def test_op5_links_and_hot_deals(spark):
     assert simhash.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")).where("root = 0").count() == 61
 
 
+def test_keep_first_of_rows_that_share_an_id(spark):
+    """Row 5 is there with a copy of row 1's text, and twice with a text of its own; row 9 has a copy of that."""
+    one, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    for docs in ([(5, one), (1, one), (5, other), (9, other), (5, other)], [(5, other), (5, other), (9, other), (1, one), (5, one)]):
+        kept = simhash.keep_first(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, lang string").coalesce(1))
+        assert kept.columns == ["doc_id", "text", "lang"] and got(kept, "doc_id", "text") == [(1, one), (5, other)]
+
+
 def test_op6(frame, docs):
     want = sorted(((i, *(sum(k == kind for k, _, _ in s) for kind in pii.BASE), H.sha(H.listed(s))) for i, t in docs for s in [H.personal(t or "")]), key=str)
     assert got(pii.pii_digest(frame), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
