@@ -36,7 +36,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, with_ids=False)
+    return packing.pack_documents(docs)
 
 
 STAGES = [

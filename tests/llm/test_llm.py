@@ -374,6 +374,14 @@ def test_vocabulary_memory_changes_no_ids():
         assert encoder(texts) == [encoder._whole(t) for t in texts]
 
 
+def test_pipeline_packs_the_ids(spark, docs):
+    import corpus_pipeline
+
+    some = table(spark, [d for d in docs[:40] if d[0] is not None])
+    rows = corpus_pipeline.packed(spark, some, DATA).collect()
+    assert rows and all(len(r["ids"]) == r["length"] and packing.crc_of_ids(np.array(r["ids"], dtype="<u2")) == r["ids_crc32"] for r in rows)
+
+
 @pytest.mark.parametrize("name", ["op1_secrets", "op2_substring", "op4_tokens", "op5_simhash", "op6_pii", "op7_pieces", "op8_packing", "op9_rules"])
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
