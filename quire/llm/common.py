@@ -7,6 +7,8 @@ operator says so, and columns that the operator does not know are ignored.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -113,19 +115,34 @@ def flat(mapped: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset (as in tests) a temporary one."""
-    now = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a session on one machine, as in tests, gets a
+    temporary one; a cluster is refused, as its executors would write to disks of their own."""
+    context = spark.sparkContext
+    now = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not now:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         now = tempfile.mkdtemp(prefix="quire-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(now)
+        atexit.register(shutil.rmtree, now, True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(now)
     return now
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at.getParent())
+    system.deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that nothing before it runs twice and a lost executor costs only its tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    path = new_folder(spark, "quire")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
