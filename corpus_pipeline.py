@@ -6,13 +6,11 @@ the columns of documents; ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import packing, pii, quality_rules, simhash, substring
-from quire.llm.common import shared_dir
+from quire.llm.common import new_folder
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/quire-stage-{uuid.uuid4().hex}"
+        path = new_folder(spark, "quire-stage")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary one."""
+    """``df`` written to the folder in ``spark.checkpoint.dir``. Where that is unset a session on one machine, as in tests, writes to a temporary
+    one; a cluster is refused, as its executors would write to disks of their own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(True)
