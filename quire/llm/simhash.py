@@ -32,7 +32,7 @@ from .common import cut, flat, forget, map_text, quoted
 #: Fingerprints to a chunk, unless there would be more than ``MANY`` chunks.
 CHUNK, MANY = 1 << 17, 4096
 #: Fingerprints to a leaf; pairs of nodes, and of leaves, at a time.
-LEAF, PAIRS, LEAF_PAIRS = 16, 1 << 18, 4096
+LEAF, PAIRS, LEAF_PAIRS = 16, 1 << 18, 1024
 #: A fingerprint that more than this share of all rows has is labelled by broadcast.
 HOT_SHARE = 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -137,8 +137,9 @@ def near_pairs(x: GrayIndex, y: GrayIndex, limit: int) -> Iterator[tuple[np.ndar
     for a, b in meetings(x, y, limit):
         for at in range(0, len(a), LEAF_PAIRS):
             k, m = a[at : at + LEAF_PAIRS], b[at : at + LEAF_PAIRS]
-            pair, u, v = np.nonzero(np.bitwise_count(x.leaves[k][:, :, None] ^ y.leaves[m][:, None, :]) <= limit)
-            u, v = k[pair] * LEAF + u, m[pair] * LEAF + v
+            hit = np.flatnonzero(np.bitwise_count(x.leaves[k][:, :, None] ^ y.leaves[m][:, None, :]) <= limit)
+            pair, hit = np.divmod(hit, LEAF * LEAF)
+            u, v = k[pair] * LEAF + hit // LEAF, m[pair] * LEAF + hit % LEAF
             good = (u < x.count) & (v < y.count)
             if x is y:
                 good &= u < v
