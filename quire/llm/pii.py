@@ -1,8 +1,9 @@
 """Personal data by anchor expansion: one Aho-Corasick pass finds at-signs, plus signs, digits, schemes and
 cues; local parsers expand each anchor to its boundaries and validate what they find.
 
-A null or empty text has no spans. Rows are scanned each for itself, repeated rows included, and whole,
-however long; a parser reads only around its anchor.
+A null or empty text has no spans, an empty table no rows. Rows are scanned each for itself, repeated rows and rows that share an id included, and whole,
+however long; a parser reads only around its anchor. Of an id that is null nothing else is asked. Other columns are ignored, or come along when texts are redacted,
+whatever their names and types.
 """
 
 from __future__ import annotations
@@ -29,8 +30,18 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-_AFTER_CUE = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|#)?[\x20\t]*[:=#][\x20\t]*([A-Z0-9](?:[\x20-]?[A-Z0-9]){5,29})(?![A-Za-z0-9])", re.I | re.A)
+#: Between a cue and what it announces: a word for number, then a sign, or white space.
+_SIGN = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|#)?[\x20\t]*[:=#][\x20\t]*", re.I | re.A)
+_GAP, _NOTHING = re.compile(r"[\x20\t]+"), re.compile("")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", re.A)
+_GROUP = re.compile(r"[A-Z0-9]+", re.A)
+#: How long the account numbers of ISO 13616 are in each country that issues them.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _CUES = ("iban", "ssn", "account", "acct", "konto", "passport")
 
 
@@ -60,6 +71,36 @@ def iban_valid(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _ends_here(text: str, at: int) -> bool:
+    return at == len(text) or not (text[at].isascii() and text[at].isalnum())
+
+
+def iban_end(text: str, start: int) -> int:
+    """Where the account number that starts here ends: as long as its country's are, or else the longest whose check digits are right, and no part of a
+    longer word. 0 if there is none."""
+    if not (m := _IBAN.match(text, start)):
+        return 0
+    ends = [i for i in range(start + 1, m.end() + 1) if text[i - 1] != " "]  # after each letter or digit
+    for n in [_IBAN_LENGTHS[m[0][:2]]] if m[0][:2] in _IBAN_LENGTHS else range(len(ends), 14, -1):
+        if n <= len(ends) and _ends_here(text, ends[n - 1]) and iban_valid(text[start : ends[n - 1]]):
+            return ends[n - 1]
+    return 0
+
+
+def account_end(text: str, start: int) -> int:
+    """Where the groups of capitals and digits that start here end, each with a digit, joined by single spaces or hyphens, 6 to 30 characters with
+    6 digits at least. 0 if there are none."""
+    at = stop = start
+    while (m := _GROUP.match(text, at)) and any(c in _DIGITS for c in m[0]) and _ends_here(text, m.end()):
+        if sum(c.isalnum() for c in text[start : m.end()]) > 30:
+            break
+        stop = m.end()
+        at = stop + 1 if text[stop : stop + 1] in (" ", "-") else stop
+        if at == stop:
+            break
+    return stop if sum(c in _DIGITS for c in text[start:stop]) >= 6 else 0
+
+
 class Finder:
     """All spans of a text. Each kind keeps the end of its last match, found or dropped, and looks no further back."""
 
@@ -133,14 +174,18 @@ class Finder:
 
     @staticmethod
     def _cue(text: str, end: int, low: dict, found: dict) -> None:
-        if not (m := _AFTER_CUE.match(text, end)) or m.start(1) < max(low["iban"], low["account"]):
+        """What a cue announces: a valid account number of ISO 13616, after a sign or white space; or, after a sign, groups of
+        capitals and digits, up to the first that holds no digit."""
+        sign = _SIGN.match(text, end)
+        start = (sign or _GAP.match(text, end) or _NOTHING.match(text, end)).end()
+        if start == end or start < max(low["iban"], low["account"]):
             return
-        if (i := _IBAN.match(text, m.start(1))) and iban_valid(i[0]):
-            low["iban"] = i.end()
-            found["iban"].append(i.span())
-        elif sum(c in _DIGITS for c in m[1]) >= 6:
-            low["account"] = m.end(1)
-            found["account"].append(m.span(1))
+        if stop := iban_end(text, start):
+            low["iban"] = stop
+            found["iban"].append((start, stop))
+        elif sign and (stop := account_end(text, start)):
+            low["account"] = stop
+            found["account"].append((start, stop))
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

@@ -11,9 +11,12 @@ hashes, as differences and with two bits for each (is it a block of the index; i
 with one bit for each hash. So a probe costs two to four bytes, a passage that many documents share costs no
 more than one entry for each pack, and no task gets more than its range or its pack.
 
-The first round's hashes only have to select, and are as long as the corpus needs for that. Windows are compared by 96 bits of
-two independent hashes. Null texts have no words. Rows that share an id are documents of their own; the
-same row twice is a repeat like any other. Every row gets a result.
+The first round's hashes only have to select, and are as long as the corpus needs for that: what they take for equal by mistake
+costs time. In the second round a window goes by its words: 128 bits of their BLAKE2b digest, which nobody is known to be able to make collide.
+
+Null texts have no words and stay null; empty ones and an empty table are no special case. Rows that share an id, or have none, are documents of
+their own; the same row twice is a repeat like any other, though rows that are equal in all columns share a pack. A text is never cut: a very long one is a pack of its
+own, with some 60 bytes of memory for each of its words. Other columns come along, whatever their names and types. Every row gets a result.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-_BYTE_BASE, _WORD_BASES = 0x9E3779B97F4A7C55, (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 _BYTE_VALUES = mix64(np.arange(256, dtype=np.uint64))
 
 
@@ -64,7 +67,8 @@ class Words:
     """The words of a pack of texts: where they are, in which text, and their hashes."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        self.data = b"\n".join(texts)
+        data = np.frombuffer(self.data, dtype=np.uint8)
         space = np.ones(len(data) + 2, dtype=bool)
         space[1:-1] = _SPACE[data]
         change = np.flatnonzero(space[1:] != space[:-1])
@@ -85,14 +89,21 @@ class Words:
         self.left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(hashes))  # words from here to the text's end
         self.place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
 
-    def runs(self, n: int, which: int = 0) -> np.ndarray:
+    def runs(self, n: int) -> np.ndarray:
         """For each word the hash of the n words that start there; it only counts where the text goes on that far."""
         w = len(self.hashes)
-        base = _WORD_BASES[which]
         sums = np.zeros(w + 1, dtype=np.uint64)
-        np.cumsum((mix64(self.hashes) if which else self.hashes) * _powers(base, w), out=sums[1:])
+        np.cumsum(self.hashes * _powers(_WORD_BASE, w), out=sums[1:])
         ends = np.minimum(np.arange(w) + n, w)
-        return mix64((sums[ends] - sums[:-1]) * _powers(_inverse(base), w))
+        return mix64((sums[ends] - sums[:-1]) * _powers(_inverse(_WORD_BASE), w))
+
+    def digests(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Two 64-bit numbers for the n words from each of the places ``at``: the BLAKE2b digest of these words joined by spaces."""
+        joined = b" ".join(self.data.split())
+        starts = np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        digest = hashlib.blake2b
+        found = [digest(joined[s:e], digest_size=16).digest() for s, e in zip(starts[at].tolist(), (starts[at + n] - 1).tolist())]
+        return np.frombuffer(b"".join(found), dtype="<u8").astype(np.uint64).reshape(-1, 2)
 
 
 def _packed(deltas: np.ndarray) -> bytes:
@@ -147,7 +158,8 @@ class Round:
         sums = np.concatenate([[0], np.cumsum(hits)])
         last = np.minimum(np.arange(len(hits)) + self.window - self.block + 1, len(hits))
         at = np.flatnonzero((words.left >= self.window) & (sums[last] > sums[:-1]))
-        return at, words.runs(self.window)[at], np.ones(len(at), dtype=bool), words.runs(self.window, 1)[at] >> np.uint64(32)
+        digests = words.digests(at, self.window)
+        return at, digests[:, 0], np.ones(len(at), dtype=bool), digests[:, 1]
 
     def cuts(self, keys: np.ndarray) -> list[int]:
         """Where each range of the sorted keys begins, and their end."""
@@ -159,7 +171,7 @@ class Round:
         for r, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
             if lo < hi:
                 body = _packed(np.diff(keys[lo:hi], prepend=keys[lo]))
-                parts = [int(keys[lo]).to_bytes(8, "little"), (hi - lo).to_bytes(4, "little"), _bits(flag[lo:hi]), _bits(twice[lo:hi]), check[lo:hi].astype("<u4").tobytes() if check is not None else b"", body]
+                parts = [int(keys[lo]).to_bytes(8, "little"), (hi - lo).to_bytes(4, "little"), _bits(flag[lo:hi]), _bits(twice[lo:hi]), check[lo:hi].astype("<u8").tobytes() if check is not None else b"", body]
                 yield r, b"".join(parts)
 
 
@@ -168,8 +180,8 @@ def _asked(data: bytes, checked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
     at = 12 + (k := (n + 7) // 8)
     flag, twice = _unbits(data[12:at], n), _unbits(data[at : at + k], n)
     at += k
-    check = np.frombuffer(data, dtype="<u4", count=n, offset=at).astype(np.uint64) if checked else np.zeros(n, dtype=np.uint64)
-    return np.cumsum(_unpacked(data[at + 4 * n * checked :])) + np.uint64(first), flag, twice, check
+    check = np.frombuffer(data, dtype="<u8", count=n, offset=at).astype(np.uint64) if checked else np.zeros(n, dtype=np.uint64)
+    return np.cumsum(_unpacked(data[at + 8 * n * checked :])) + np.uint64(first), flag, twice, check
 
 
 def _answer(asked: list[bytes], checked: bool) -> list[bytes]:
@@ -208,8 +220,17 @@ def _replied(answers: pa.Table, cuts: list[int], n: int) -> np.ndarray:
     return hit
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash values of that type: there are no maps in it."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType, give, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(carry, out) for every row, where ``give(words, removed)`` makes a row's ``out`` from its words and which of them lie in repeated windows."""
+    """(carry, out) for every row, where ``give(text, removed)`` makes a row's ``out`` from its text, or None, and which of its words lie in repeated windows."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
@@ -223,8 +244,10 @@ def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType
     ranges = max(1, ranges, min(parts, math.ceil(words_about / (RANGE_WORDS / 4))))
     bits = min(64, max(40, total.bit_length() + 12))
     # The pack follows from the row, so that a row that is read again meets the same others.
-    view = docs.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("carry"), text.alias("text")).withColumn(
-        "pack", F.pmod(F.xxhash64("text", "carry"), F.lit(packs)).cast("int")
+    told_apart = [F.col(quoted(c)) for c in carry if _hashable(docs.schema[c].dataType)]
+    view = docs.select(
+        F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in carry]).alias("carry"), text.alias("text"), F.col(quoted(text_col)).isNull().alias("none"),
+        F.pmod(F.xxhash64(text, *told_apart), F.lit(packs)).cast("int").alias("pack"),
     )
     rounds = Round(bits, ranges, block, window), Round(64, ranges, block, window)
     blob, bit_rows = "pack int, range int, asked binary", "pack int, range int, bits binary"
@@ -287,8 +310,8 @@ def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType
         np.add.at(edge, at[hit] + window, -1)
         gone = np.cumsum(edge)[:-1] > 0
         made, lo = [], 0
-        for data, n in zip(texts, words.counts.tolist()):
-            made.append(give(data.split(), gone[lo : lo + n]))
+        for data, none, n in zip(texts, table.column("none").to_pylist(), words.counts.tolist()):
+            made.append(give(None if none else data, gone[lo : lo + n]))
             lo += n
         cols = [pa.array(c, f.type) for c, f in zip(zip(*made), arrow)]
         return pa.table({"carry": table.column("carry").combine_chunks(), "out": pa.StructArray.from_arrays(cols, fields=list(arrow))})
@@ -305,22 +328,21 @@ def repeated(docs: DataFrame, text_col: str, carry: list[str], out: T.StructType
 def substring_digest(docs: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
-    def give(words: list[bytes], gone: np.ndarray) -> tuple:
+    def give(text: bytes | None, gone: np.ndarray) -> tuple:
+        words = (text or b"").split()
         kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return repeated(docs, "text", ["doc_id"], out, give).select("carry.*", "out.*")
+    return repeated(docs, "text", ["doc_id"], out, give).select("carry.doc_id", "out.*")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the words of repeated windows removed. A text that loses words is the others joined by
     spaces; every other text stays as it is, null texts too."""
-    out = T.StructType([T.StructField("cut", T.BooleanType()), T.StructField("kept", T.StringType())])
+    out = T.StructType([T.StructField("kept", T.StringType())])
 
-    def give(words: list[bytes], gone: np.ndarray) -> tuple:
-        if not gone.any():
-            return False, None
-        return True, b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
+    def give(text: bytes | None, gone: np.ndarray) -> tuple:
+        return ((b" ".join(w for w, g in zip(text.split(), gone.tolist()) if not g) if gone.any() else text).decode() if text is not None else None,)
 
-    made = repeated(docs, text_col, docs.columns, out, give)
-    return made.select(*[F.when(F.col("out.cut"), F.col("out.kept")).otherwise(F.col(f"carry.{quoted(c)}")).alias(c) if c == text_col else F.col(f"carry.{quoted(c)}") for c in docs.columns])
+    made = repeated(docs, text_col, [c for c in docs.columns if c != text_col], out, give)
+    return made.select(*[F.col("out.kept" if c == text_col else f"carry.{quoted(c)}").alias(c) for c in docs.columns])
