@@ -120,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pack
 
     made = flat(map_text(chosen, "text", out, make, ["id", "label"], ["n_chars"]))
-    # Rows that share an id would go beyond the bound.
-    rows = made.dropDuplicates(["id"]).orderBy("id").collect()
+    # Rows that share an id would go beyond the bound; of them the same one counts however tasks are run.
+    rows = made.groupBy("id").agg(F.min(F.struct("label", "at", "x")).alias("r")).select("id", "r.*").orderBy("id").collect()
     kind = "<u2" if FEATURES <= 65536 else "<u4"
     pairs = [(np.frombuffer(r["at"], kind).astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in rows]
     return fit(pairs, np.array([r["label"] for r in rows], dtype=np.float64))

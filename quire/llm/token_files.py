@@ -1,18 +1,19 @@
 """Token ids in binary files, coded by an adaptive context-mixing range coder.
 
 A file is a Parquet part whose rows are frames, in ascending order of document ids. A frame holds whole
-documents: a header, the ids and lengths of its documents, and its tokens in blocks. Each block starts with fresh
+documents, or a piece of one that is longer than a frame: a header, the ids and lengths of its documents, and its tokens in blocks. Each block starts with fresh
 models, has a checksum, and can be decoded alone; all blocks of a frame are coded side by side, one
 token of each at a time, so that numpy does the work of the loop over tokens.
 
-A token is coded in up to four steps. Is it what followed the last two tokens before (order 2)? Else, is it what followed the
+A token is coded in up to three steps. Is it what followed the last two tokens before (order 2)? Else, is it what followed the
 last one (order 1)? Both answers are coded with mixed predictions: the stretched probabilities of counters, which know
-how long each order has been right and whether the orders agree, are weighted by what proved right, and squashed. Otherwise the
+how long each order has been right, whether the orders agree and how often the guess was seen in the block at all (order 0), are weighted by what proved right, and squashed. Otherwise the
 four digits of its id to base 16 are coded with adaptive frequencies, each after those before it (order 0). All arithmetic is on integers, so any machine
 decodes what another coded.
 
-Null and empty texts have the end id only. Rows that share an id follow each other by text. Ids of
-documents must be integers; a null id comes first.
+Null and empty texts have the end id only; an empty table has no files. Rows that share an id follow each other by the first characters of their texts, those that
+share these too by a hash; repeated rows are documents of their own. Ids of documents must be integers; a null id comes first. A very long text is encoded
+as a whole, with some bytes for each token, but coded frame by frame. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,16 +117,30 @@ class _Order:
         self.run[k, slot] = np.where(right, np.minimum(run + 1, 7), 1)
 
 
+class _Seen:
+    """How often each token was there in the block, by hashed slots."""
+
+    def __init__(self, n: int) -> None:
+        self.count = np.zeros((n, _SLOTS), dtype=np.int8)
+
+    def look(self, k: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return self.count[k, (token * 25717 >> 4) % _SLOTS].astype(np.int64)
+
+    def learn(self, k: np.ndarray, token: np.ndarray) -> None:
+        slot = (token * 25717 >> 4) % _SLOTS
+        self.count[k, slot] = np.minimum(self.count[k, slot] + 1, 15)
+
+
 class _Decision:
-    """A binary answer by mixing three predictions: by the one order's state, by the other's, by both."""
+    """A binary answer by mixing four predictions: by the one order's state, by the other's, by both, and by how often the guess was seen."""
 
     def __init__(self, n: int) -> None:
-        self.p = np.full((n, 3, 128), _HALF, dtype=np.int64)
-        self.w = np.full((n, 3), 24000, dtype=np.int64)
+        self.p = np.full((n, 4, 128), _HALF, dtype=np.int64)
+        self.w = np.full((n, 4), 20000, dtype=np.int64)
 
     def predict(self, k: np.ndarray, states: tuple[np.ndarray, ...]) -> tuple:
         at = np.stack(states, 1)
-        p = self.p[k[:, None], [0, 1, 2], at]
+        p = self.p[k[:, None], [0, 1, 2, 3], at]
         s = _STRETCH[p]
         mixed = ((s * self.w[k]).sum(axis=1) >> 16).clip(-2047, 2047)
         return _SQUASH[mixed + 2047], p, s, at
@@ -134,7 +149,7 @@ class _Decision:
         mixed, p, s, at = made
         target = hit * (_ONE - 1)
         self.w[k] += (s * (target - mixed)[:, None]) >> 11
-        self.p[k[:, None], [0, 1, 2], at] = (p + ((target[:, None] - p) >> 4)).clip(32, _ONE - 32)
+        self.p[k[:, None], [0, 1, 2, 3], at] = (p + ((target[:, None] - p) >> 4)).clip(32, _ONE - 32)
 
 
 class _Frequencies:
@@ -165,7 +180,7 @@ def _run(coder: _Coder, lengths: np.ndarray, tokens: np.ndarray | None) -> np.nd
     n, steps = len(lengths), int(lengths.max())
     coding = tokens is not None
     out = tokens if coding else np.zeros((n, steps), dtype=np.int64)
-    two, one = _Order(n), _Order(n)
+    two, one, seen = _Order(n), _Order(n), _Seen(n)
     first, second = _Decision(n), _Decision(n)
     digits = [_Frequencies(n, c) for c in (1, 16, 256, 256)]
     whole = np.uint64(_ONE)
@@ -184,7 +199,8 @@ def _run(coder: _Coder, lengths: np.ndarray, tokens: np.ndarray | None) -> np.nd
             rest = np.flatnonzero(asked & ~settled)
             if not len(rest):
                 continue
-            made = model.predict(rest, tuple(s[rest] for s in states))
+            often = seen.look(rest, guess[rest])
+            made = model.predict(rest, (*(s[rest] for s in states), often * 8 + states[2][rest] % 8))
             p = made[0]
             hit = ((token[rest] == guess[rest]) if coding else (coder.place(rest, whole) < p)).astype(np.int64)
             coder.narrow(rest, np.where(hit, 0, p), np.where(hit, p, _ONE - p), whole)
@@ -201,6 +217,7 @@ def _run(coder: _Coder, lengths: np.ndarray, tokens: np.ndarray | None) -> np.nd
                 known = known << 4 | model.code(coder, rest, context, (token[rest] >> (12 - 4 * i)) & 15 if coding else None)
             token[rest] = known
         out[k, t] = token
+        seen.learn(k, token)
         two.learn(k, slot2, token, guess2, run2)
         one.learn(k, slot1, token, guess1, run1)
     return out
@@ -262,14 +279,16 @@ def decode_frame(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if null else i, doc
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """The files, as rows (part, frame, before: tokens of the part's frames before, n_tokens, payload), already written to the shared folder."""
+def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, most: int = FRAME) -> DataFrame:
+    """The files, as rows (part, frame, before: tokens of the part's frames before, n_tokens, of: 0, or how many tokens the document has of which
+    this is a piece, lead: its tokens before the piece, payload), already written to the shared folder. ``most``: tokens of a frame about."""
     path = vocabulary or public_path("byte_bpe_50k.json")
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     view = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"))
     size = view.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = view.repartitionByRange(max(1, math.ceil(size / SHARD_BYTES)), "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    order = ["id", F.substring("text", 1, 64), F.xxhash64("text")]  # the same across parts as in each
+    ordered = view.repartitionByRange(max(1, math.ceil(size / SHARD_BYTES)), *order).sortWithinPartitions(*order, "text")
 
     def run(batches):
         encoder, part = kept(Encoder, path, False), TaskContext.get().partitionId()
@@ -278,23 +297,31 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         tokens = before = frame = 0
         end = np.array([end_id], dtype="<u2")
 
-        def give():
-            made = encode_frame(ids, held)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "before": [before], "n_tokens": [tokens], "payload": pa.array([made], pa.binary())})
+        def give(ids, held, of=0, lead=0):
+            nonlocal before, frame
+            n = sum(map(len, held))
+            row = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, n, of, lead)), pa.array([encode_frame(ids, held)], pa.binary())]
+            before, frame = before + n, frame + 1
+            return pa.RecordBatch.from_arrays(row, names=["part", "frame", "before", "n_tokens", "of", "lead", "payload"])
 
         for big in batches:
             for batch in slices(big, 1):
                 for i, data in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist())):
-                    ids.append(i)
-                    held.append(np.concatenate([np.frombuffer(data, dtype="<u2"), end]))
-                    tokens += len(held[-1])
-                    if tokens >= FRAME:
-                        yield give()
-                        ids, held, before, tokens, frame = [], [], before + tokens, 0, frame + 1
-        if ids:
-            yield give()
-
-    return staged(ordered.mapInArrow(run, "part int, frame int, before long, n_tokens long, payload binary"))
+                    doc = np.concatenate([np.frombuffer(data, dtype="<u2"), end])
+                    if held and tokens + len(doc) > most:
+                        yield give(ids, held)
+                        ids, held, tokens = [], [], 0
+                    if len(doc) > most:
+                        for lead in range(0, len(doc), most):
+                            yield give([i], [doc[lead : lead + most]], len(doc), lead)
+                    else:
+                        ids.append(i)
+                        held.append(doc)
+                        tokens += len(doc)
+        if held:
+            yield give(ids, held)
+
+    return staged(ordered.mapInArrow(run, "part int, frame int, before long, n_tokens long, of long, lead long, payload binary"))
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -302,22 +329,36 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
     parts = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each file
     before = [0, *accumulate(n for _, n in parts)]
     first = files.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(parts, before)], "part int, earlier long")
-    framed = files.join(F.broadcast(first), "part").select((F.col("earlier") + F.col("before")).alias("start"), "payload")
+    framed = files.join(F.broadcast(first), "part").select((F.col("earlier") + F.col("before")).alias("start"), "payload", "lead", "of")
+    names = [id_col, "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names[:4]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
-    def run(batches):
+    def row(i, start, ids, crc):
+        return i, start, len(ids), crc, *([ids] if with_ids else [])
+
+    def whole(batches):
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
                 for i, ids in decode_frame(payload.as_py()):
-                    crc = zlib.crc32(ids.astype("<u4").tobytes())
-                    rows.append((i, start, len(ids), crc, *([ids] if with_ids else [])))
+                    rows.append(row(i, start, ids, zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-                names = [id_col, "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in (id_col, "start", "n_tokens", "ids_crc32")] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    return framed.mapInArrow(run, schema)
+    def joined(table: pa.Table) -> pa.Table:
+        """A document from its pieces, one decoded at a time."""
+        table = table.sort_by("lead")
+        crc, n, parts = 0, 0, []
+        for payload in table.column("payload"):
+            ((i, ids),) = decode_frame(payload.as_py())
+            crc, n = zlib.crc32(ids.astype("<u4").tobytes(), crc), n + len(ids)
+            parts.append(ids if with_ids else ids[:0])
+        made = (i, table.column("begin")[0].as_py(), n, crc, *([np.concatenate(parts)] if with_ids else []))
+        return pa.Table.from_arrays([pa.array([c], k) for c, k in zip(made, kinds)], names=names)
+
+    pieces = framed.where("of > 0").select((F.col("start") - F.col("lead")).alias("begin"), "lead", "payload")
+    return framed.where("of = 0").select("start", "payload").mapInArrow(whole, schema).unionByName(pieces.groupBy("begin").applyInArrow(joined, schema))
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
