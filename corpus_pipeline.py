@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes all rows that its predecessor kept, written as Parquet and read again. Stages before the last return
-the columns of documents; ``n_chars`` follows the text where a stage changes it.
+the columns of documents, and any others there are, of whatever names and types; ``n_chars`` follows the text where a stage changes it.
+
+Null and empty texts fail the quality rules; a later stage that is given some keeps them. Rows that share an id are documents of their own: of a group of near-duplicates
+one row stays, that with the smallest id, of several with that id the one with the smallest hash of its text; a row without an id only if the group has
+no other. Texts are taken whole, however long. An empty table gives empty results. The last stage returns the pieces with their token ids.
 """
 
 from __future__ import annotations
