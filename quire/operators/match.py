@@ -14,15 +14,46 @@ from .filters import DOC
 HEADING = ("title", "heading", "sub_title", "subtitle")
 
 
+#: Characters of a title by which one that holds it is found; sides of the cells in which boxes meet.
+GRAM, CELL = 6, 256
+
+
+def _grams(text: str) -> Column:
+    """All runs of a text's characters that a title could start with, each once: those of ``GRAM``, and shorter ones for shorter titles."""
+    return F.array_distinct(F.expr(f"flatten(transform(sequence(1, {GRAM}), n -> if(length({text}) < n, array(), transform(sequence(1, length({text}) - n + 1), i -> substring({text}, i, n)))))"))
+
+
+def _cells(prefix: str) -> Column:
+    """The cells that a box touches, as numbers."""
+    at = lambda c: F.floor(F.col(f"{prefix}{c}") / CELL).cast("int")
+    along = lambda a, b: F.sequence(F.least(at(a), at(b)), F.greatest(at(a), at(b)))
+    return F.flatten(F.transform(along("x1", "x2"), lambda x: F.transform(along("y1", "y2"), lambda y: x.cast("long") * 1000003 + y)))
+
+
 def best_matches(headers: DataFrame, elements: DataFrame, least: float = 0.2) -> DataFrame:
     """(document, h_idx, seq, match_score): of a document's elements the one that fits a header best, the first of equals.
 
     Equal titles fit by 0.9, a title inside the other by 0.6 if the label is a heading's, overlapping boxes (where a header has one) by their overlap over 0.3.
+
+    Each way has candidates of its own: equal titles; a title whose first characters are anywhere in a heading's, or the other way round; and boxes that
+    share a cell of the page. Only these are scored, so no header meets all elements of its document.
     """
     low = lambda c: F.lower(txt.stripped(F.coalesce(F.col(c), F.lit(""))))
-    pairs = headers.select(DOC, F.col("idx").alias("h_idx"), low("title").alias("ht"), *([F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2")] if "x1" in headers.columns else [])).join(
-        elements.select(DOC, "page_number", "seq", "label", low("text_content").alias("et"), "x1", "y1", "x2", "y2"), DOC
-    )
+    corners = [c for c in ("x1", "y1", "x2", "y2") if c in headers.columns]
+    heads = headers.select(DOC, F.col("idx").alias("h_idx"), low("title").alias("ht"), *[F.col(c).alias(f"h_{c}") for c in corners])
+    rows = elements.select(DOC, "page_number", "seq", "label", low("text_content").alias("et"), "x1", "y1", "x2", "y2")
+    titled, headings = heads.where("ht <> ''"), rows.where(F.lower("label").isin(*HEADING) & (F.col("et") != ""))
+    met = [titled.join(rows, (titled[DOC] == rows[DOC]) & (titled["ht"] == rows["et"])).drop(rows[DOC])]
+    for inner, outer, small, large in ((titled, headings, "ht", "et"), (headings, titled, "et", "ht")):
+        start, grams = inner.withColumn("gram", F.left(small, F.lit(GRAM))), outer.withColumn("gram", F.explode(_grams(large))).withColumnRenamed(DOC, "_doc").withColumnRenamed("gram", "_gram")
+        met.append(start.join(grams, (F.col(DOC) == F.col("_doc")) & (F.col("gram") == F.col("_gram")) & F.contains(large, small)).drop("_doc", "gram", "_gram"))
+    if len(corners) == 4:
+        near = heads.withColumn("cell", F.explode(_cells("h_"))).join(rows.withColumn("cell", F.explode(_cells(""))), [DOC, "cell"]).drop("cell")
+        met.append(near)
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = pairs.dropDuplicates([DOC, "h_idx", "page_number", "seq"])
     same = F.when((F.col("ht") == F.col("et")) & (F.col("ht") != ""), 0.9)
     part = F.when((F.col("ht") != "") & (F.col("et") != "") & (F.contains("et", "ht") | F.contains("ht", "et")) & F.lower("label").isin(*HEADING), 0.6)
     over = geo.iou(geo.box("h_"), geo.box()) if "h_x1" in pairs.columns else F.lit(0.0)

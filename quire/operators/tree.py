@@ -9,12 +9,19 @@ from pyspark.sql.window import Window as W
 KEY = "document_id"
 
 
-def with_parents(rows: DataFrame, by: list[str], idx: str = "idx", level: str = "level", levels: range = range(0, 6)) -> DataFrame:
+def with_parents(rows: DataFrame, by: list[str], idx: str = "idx", level: str = "level", levels: range | None = range(0, 6)) -> DataFrame:
     """``rows`` with parent_idx, the last row before with a smaller level (null: the root), and depth, from 0 at the top.
 
     For each level the last row of it is a running maximum; the parent is the greatest of those of smaller levels,
-    and an ancestor of level k is one that none of a smaller level follows.
+    and an ancestor of level k is one that none of a smaller level follows. A level outside ``levels`` is an error, as its rows would get wrong
+    parents; with None the levels are those of the data.
     """
+    if levels is None:
+        first, last_ = rows.agg(F.min(level), F.max(level)).first()
+        levels = range(first or 0, (last_ or 0) + 1)
+    wrong = F.raise_error(F.concat(F.lit(f"level outside {levels.start} to {levels.stop - 1}: "), F.col(level).cast("string")))
+    kind = rows.schema[level].dataType
+    rows = rows.withColumn(level, F.when(F.col(level).isNull() | F.col(level).between(levels.start, levels.stop - 1), F.col(level)).otherwise(wrong.cast(kind)))
     past = W.partitionBy(*by).orderBy(idx).rowsBetween(W.unboundedPreceding, -1)
     last = {k: f"_last{k}" for k in levels}
     out = rows.withColumns({c: F.max(F.when(F.col(level) == k, F.col(idx))).over(past) for k, c in last.items()})

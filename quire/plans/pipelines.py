@@ -68,7 +68,7 @@ def matched_tree(elements: DataFrame, lines: DataFrame) -> DataFrame:
         DOC, "page_number", "seq", "y1", F.col("text_content").alias("title"), F.col("spatial_level").alias("level"), F.lit("layout").alias("origin")
     )
     rows = match.sorted_sections(explicit, implicit)
-    return tree.with_node_ids(tree.with_parents(rows, [DOC], levels=range(0, 8)), [DOC])
+    return tree.with_node_ids(tree.with_parents(cut(rows), [DOC], levels=None), [DOC])
 
 
 def toc_tree(rows: DataFrame, physical: DataFrame, by: list[str], last_page: Column) -> DataFrame:

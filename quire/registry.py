@@ -396,7 +396,24 @@ def o7_r7_summary_lines(spark, sf_dir):
     return tree.summary_lines(_cut_title(_nodes(spark, sf_dir)).withColumn("summary", F.left(F.col("text_content"), F.lit(40))), [DOC])
 
 
-@_query()
+#: In pre-order a node opens its children or closes itself and all that end with it.
+_NESTED = _RPG + _DEPTHS + """, o AS (SELECT d.document_id, d.idx, d.depth, n.text_content AS title, lead(d.depth) OVER (PARTITION BY d.document_id ORDER BY d.idx) AS nd, lag(d.depth) OVER (PARTITION BY d.document_id ORDER BY d.idx) AS pd FROM dp d JOIN nodes n USING (document_id, idx))
+SELECT document_id, '[' || string_agg(CASE WHEN pd >= depth THEN ',' ELSE '' END || '{"node_id":"' || printf('%04d', idx) || '","title":' || CAST(to_json(title) AS VARCHAR) || CASE WHEN nd > depth THEN ',"children":[' ELSE '}' || repeat(']}', CAST(depth - coalesce(nd, 0) AS INT)) END, '' ORDER BY idx) || ']' AS tree FROM o GROUP BY 1"""
+
+
+@_query(_RPG + _DEPTHS + ", o AS (SELECT d.document_id, d.idx, d.depth, n.text_content AS title FROM dp d JOIN nodes n USING (document_id, idx)) SELECT document_id, string_agg(repeat('  ', depth) || title, chr(10) ORDER BY idx) AS outline, string_agg(repeat('#', LEAST(depth + 1, 6)) || ' ' || title || chr(10) || chr(10) || title, chr(10) || chr(10) ORDER BY idx) AS markdown FROM o GROUP BY 1")
+def r5_r6_whole_outline_and_markdown(spark, sf_dir):
+    """Whole lines as titles, and as the texts below the headings."""
+    rows = _nodes(spark, sf_dir)
+    return tree.outline(rows, [DOC]).join(tree.as_markdown(rows, [DOC], text="text_content"), DOC)
+
+
+@_query(_PG + _TREE + " SELECT document_id, string_agg('- ' || text_content || ': ' || text_content, chr(10) ORDER BY idx) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS n FROM par) WHERE n <= 20 GROUP BY 1")
+def o7_r7_whole_summary_lines(spark, sf_dir):
+    return tree.summary_lines(_nodes(spark, sf_dir).withColumn("summary", F.col("text_content")), [DOC])
+
+
+@_query(_NESTED)
 def r1_r4_r9_nested_json(spark, sf_dir):
     return tree.nested_json(tree.with_node_ids(_nodes(spark, sf_dir), [DOC]), [DOC], ["node_id", "title"])
 
@@ -457,7 +474,9 @@ def t1_t4_tags(spark, sf_dir):
     return layouts.tagged_pages(spark, sf_dir).select(*PAGE, F.size(grounding.references(text)).cast("long").alias("n_tags"), grounding.without_tags(text).alias("plain"))
 
 
-@_query()
+@_query(_PG + """, im AS (SELECT *, sum(CASE WHEN label = 'image' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_number ORDER BY seq) AS i FROM el),
+cl AS (SELECT document_id, page_number, string_agg(CASE WHEN label = 'image' THEN chr(10) ELSE '' END || text_content, chr(10) ORDER BY seq) AS a, string_agg(CASE WHEN label = 'image' THEN chr(10) || chr(10) || '**[Figure ' || i || ']**' || chr(10) || chr(10) || chr(10) ELSE '' END || text_content, chr(10) ORDER BY seq) AS b FROM im GROUP BY 1, 2)
+SELECT document_id, page_number, """ + _STRIP.format("a") + " AS cleaned, " + _STRIP.format("b") + " AS with_figures FROM cl")
 def t3_cleaned(spark, sf_dir):
     text = F.col("tagged")
     return layouts.tagged_pages(spark, sf_dir).select(*PAGE, grounding.cleaned(text).alias("cleaned"), grounding.cleaned(text, True).alias("with_figures"))
@@ -487,6 +506,12 @@ def t16_pieces(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(txt.pieces(F.col("text"))).alias("piece", "part")).select("doc_id", "piece", F.length("part").cast("long").alias("n_chars"))
 
 
+@_query("""WITH p AS (SELECT doc_id, text, CAST(unnest(generate_series(0, CAST(ceil(length(text) / 2000.0) AS INT) - 1)) AS INT) AS piece FROM documents) SELECT doc_id, piece, text[piece * 2000 + 1 : piece * 2000 + 2000] AS part FROM p""")
+def t16_piece_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(txt.pieces(F.col("text"))).alias("piece", "part"))
+
+
 @_query()
 def t8_chunks(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -658,7 +683,7 @@ def c4_markdown_tree(spark, sf_dir):
     return pipelines.markdown_tree(_lines(spark, sf_dir), PAGE).select(*PAGE, "idx", "node_id", "title", "token_count", "parent_idx")
 
 
-@_query()
+@_query(_PG + _SECTIONS + _TOK + """ SELECT document_id, page_number, idx, CASE WHEN length(text) < 50 THEN text WHEN length(body) < 50 THEN body ELSE body[1:200] || '...' END AS summary FROM (SELECT *, string_split(text, chr(10) || chr(10))[-1] AS body FROM tok)""")
 def x3_x4_summaries(spark, sf_dir):
     from quire.operators import enrich
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
 from quire.operators import zones
 from quire.plans import pipelines
@@ -23,11 +25,30 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def index_documents(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of whole documents becomes trees, appended to ``out``."""
+    """Each micro-batch's documents become trees, in a folder of the batch's number under ``out``.
+
+    A batch's pages are kept beside the trees, in ``out`` with ``-pages`` added. A document whose pages come in several batches is indexed again with all
+    of them; ``indexed`` reads its last tree. A batch that runs again after a failure replaces what it wrote before, so nothing is there twice.
+    """
+    store = f"{out.rstrip('/')}-pages"
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = grounding.parse(rows, "tagged", "width", "height")
-        elements = found.withColumn("seq", found["tag"] * 1000 + found["box"])
-        pipelines.spatial_tree(elements).write.mode("append").parquet(out)
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        now = spark.read.schema(rows.schema).parquet(f"{store}/batch={number}")
+        so_far = spark.read.parquet(store).where(F.col("batch") <= number)
+        whole = so_far.select(*rows.columns, "batch").join(now.select("document_id").distinct(), "document_id", "left_semi")
+        # Of a page that came twice the last one counts.
+        last = W.partitionBy("document_id", "page_number").orderBy(F.desc("batch"), "tagged")
+        found = grounding.parse(whole.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(rows.columns), "tagged", "width", "height")
+        elements = found.withColumn("seq", F.row_number().over(W.partitionBy("document_id", "page_number").orderBy("tag", "box")))
+        pipelines.spatial_tree(elements).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def indexed(spark: SparkSession, out: str) -> DataFrame:
+    """The last tree of each document."""
+    trees = spark.read.parquet(out)
+    last = trees.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return trees.join(last, ["document_id", "batch"], "left_semi").drop("batch")
