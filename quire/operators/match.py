@@ -14,13 +14,25 @@ from .filters import DOC
 HEADING = ("title", "heading", "sub_title", "subtitle")
 
 
-#: Characters of a title by which one that holds it is found; sides of the cells in which boxes meet.
-GRAM, CELL = 6, 256
+#: Blocks by which a title is found inside another, and how long it must be to hold a whole one wherever it starts; sides of the cells in which boxes meet.
+BLOCKS, CELL = ((8, 15), (3, 5), (1, 1)), 256
 
 
-def _grams(text: str) -> Column:
-    """All runs of a text's characters that a title could start with, each once: those of ``GRAM``, and shorter ones for shorter titles."""
-    return F.array_distinct(F.expr(f"flatten(transform(sequence(1, {GRAM}), n -> if(length({text}) < n, array(), transform(sequence(1, length({text}) - n + 1), i -> substring({text}, i, n)))))"))
+def _asked(text: str) -> Column:
+    """The runs of a title one of which is a block of any text that holds it: as many as the block is long, from its start on."""
+    runs = [(least, f"transform(sequence(1, {size}), i -> substring(t, i, {size}))") for size, least in BLOCKS]
+    return _once(text, "array_distinct(CASE " + " ".join(f"WHEN length(t) >= {least} THEN {run}" for least, run in runs) + " END)")
+
+
+def _held(text: str) -> Column:
+    """A text's blocks, each once."""
+    cut = [f"regexp_extract_all(t, '(?s).{{{size}}}', 0)" for size, _ in BLOCKS]
+    return _once(text, f"array_distinct(concat({', '.join(cut)}))")
+
+
+def _once(text: str, made: str) -> Column:
+    """The array that ``made`` says of ``t``, where the text behind it is computed once and not for each of its blocks."""
+    return F.expr(f"flatten(transform(array({text}), t -> {made}))")
 
 
 def _cells(prefix: str) -> Column:
@@ -35,7 +47,7 @@ def best_matches(headers: DataFrame, elements: DataFrame, least: float = 0.2) ->
 
     Equal titles fit by 0.9, a title inside the other by 0.6 if the label is a heading's, overlapping boxes (where a header has one) by their overlap over 0.3.
 
-    Each way has candidates of its own: equal titles; a title whose first characters are anywhere in a heading's, or the other way round; and boxes that
+    Each way has candidates of its own: equal titles; a title that shares a block with a heading that may hold it, or the other way round; and boxes that
     share a cell of the page. Only these are scored, so no header meets all elements of its document.
     """
     low = lambda c: F.lower(txt.stripped(F.coalesce(F.col(c), F.lit(""))))
@@ -45,8 +57,8 @@ def best_matches(headers: DataFrame, elements: DataFrame, least: float = 0.2) ->
     titled, headings = heads.where("ht <> ''"), rows.where(F.lower("label").isin(*HEADING) & (F.col("et") != ""))
     met = [titled.join(rows, (titled[DOC] == rows[DOC]) & (titled["ht"] == rows["et"])).drop(rows[DOC])]
     for inner, outer, small, large in ((titled, headings, "ht", "et"), (headings, titled, "et", "ht")):
-        start, grams = inner.withColumn("gram", F.left(small, F.lit(GRAM))), outer.withColumn("gram", F.explode(_grams(large))).withColumnRenamed(DOC, "_doc").withColumnRenamed("gram", "_gram")
-        met.append(start.join(grams, (F.col(DOC) == F.col("_doc")) & (F.col("gram") == F.col("_gram")) & F.contains(large, small)).drop("_doc", "gram", "_gram"))
+        asked, held = inner.withColumn("block", F.explode(_asked(small))), outer.withColumn("_block", F.explode(_held(large))).withColumnRenamed(DOC, "_doc")
+        met.append(asked.join(held, (F.col(DOC) == F.col("_doc")) & (F.col("block") == F.col("_block")) & F.contains(large, small)).drop("_doc", "block", "_block"))
     if len(corners) == 4:
         near = heads.withColumn("cell", F.explode(_cells("h_"))).join(rows.withColumn("cell", F.explode(_cells(""))), [DOC, "cell"]).drop("cell")
         met.append(near)
