@@ -8,6 +8,7 @@ operator says so, and columns that the operator does not know are ignored.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import sys
 import tempfile
@@ -56,9 +57,11 @@ def map_text(
     ``carry`` columns travel through unchanged, so their names can't clash with those of ``out``.
     """
     small_batches(df.sparkSession)
+    # A text that travels along anyway isn't sent twice.
+    at = carry.index(text_col) if text_col in carry and df.schema[text_col].dataType == T.StringType() else None
     view = df.select(
         F.struct(*[F.col(quoted(c)) for c in carry]).alias("carry"),
-        F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"),
+        *([] if at is not None else [F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text")]),
         *[F.col(quoted(c)).alias(f"more{i}") for i, c in enumerate(more)],
     )
     schema = T.StructType([view.schema["carry"], T.StructField("out", out)])
@@ -67,8 +70,11 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for big in batches:
-            for batch in slices(big, 1, limit):
-                given = [c.to_pylist() for c in batch.columns[1:]]
+            if at is not None:
+                columns = [big.column(0), big.column(0).flatten()[at], *big.columns[1:]]
+                big = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+            for batch in slices(big, 1, limit) if big.num_rows else ():
+                given = [[t or "" for t in batch.column(1).to_pylist()], *(c.to_pylist() for c in batch.columns[2:])]
                 rows = fn(*given) if whole else [fn(*x) for x in zip(*given)]
                 cols = list(zip(*rows)) if rows else [[] for _ in arrow]
                 made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], fields=list(arrow))
@@ -83,14 +89,18 @@ def kept(make: Callable, *args):
     held = sys.__dict__.setdefault("_quire_kept", {})
     key = (make.__qualname__, args)
     if key not in held:
-        held.clear()
+        forget()
         held[key] = make(*args)
     return held[key]
 
 
 def forget() -> None:
-    """Frees what is kept, for tasks that need the room."""
-    sys.__dict__.get("_quire_kept", {}).clear()
+    """Frees what is kept, for tasks that need the room, and hands it back to the system where that can be done."""
+    if held := sys.__dict__.get("_quire_kept"):
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+            library.malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
