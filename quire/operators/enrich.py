@@ -36,6 +36,8 @@ def register(name: str, make: Callable[..., Client]) -> None:
 
 
 def client(name: str = "offline", **options) -> Client:
+    if name not in _CLIENTS:
+        from quire.operators import clients  # noqa: F401  # brings its own names
     if name not in _CLIENTS:
         raise ValueError(f"no client {name!r}; there are {sorted(_CLIENTS)}")
     return _CLIENTS[name](**options)

@@ -39,6 +39,13 @@ class Store:
         for name, columns in TABLES.items():
             self.spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{self.path}/{name}")
 
+    def drop(self) -> None:
+        """Takes the tables away, with all that is in them."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for name in TABLES:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            folder.getFileSystem(conf).delete(folder, True)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
