@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from quire.functions import geometry as geo
 from quire.functions import text as txt
 from quire.operators import filters, hierarchy, layout, markdown, match, order, store, thinning, toc, tree, zones
-from quire.plans import pipelines
+from quire.plans import contents, pipelines
 from quire.sources import grounding, layouts
 
 DOC, PAGE = "document_id", ["document_id", "page_number"]
@@ -802,6 +802,53 @@ def c5_toc_tree(spark, sf_dir):
     return pipelines.toc_tree(logical, rows.select("k", "title", "physical_index"), ["k"], F.lit(45)).select("k", "idx", "title", "start_index", "end_index", "parent_idx")
 
 
+def _books(spark, sf_dir):
+    """Fifty documents to a book, each a page that starts with its title; page 1 lists them, with some wrong pages and in every fourth book only such."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(DOC, F.expr("doc_id div 50"))
+    docs = docs.withColumn("p", F.row_number().over(W.partitionBy(DOC).orderBy("doc_id"))).withColumn("title", F.concat(F.lit("Item "), "doc_id"))
+    printed = F.when(F.col(DOC) % 4 == 3, F.col("p") * 37 % 50).when(F.col("doc_id") % 7 == 0, F.col("p") + 2).otherwise(F.col("p"))
+    code = F.concat(F.expr("(p - 1) div 5 + 1"), F.when(F.col("p") % 5 == 1, "").otherwise(F.concat(F.lit("."), F.expr("(p - 1) % 5"))))
+    line = F.concat(code, F.lit(" "), "title", F.lit(" ........ "), printed)
+    listed = docs.groupBy(DOC).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return listed.select(DOC, F.lit(1).alias("page_number"), "text").unionByName(docs.select(DOC, (F.col("p") + 1).alias("page_number"), F.concat("title", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")))
+
+
+_BOOKS = r"""WITH d AS (SELECT doc_id // 50 AS document_id, doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS p FROM documents),
+pg AS (SELECT document_id, 1 AS page_number, string_agg(((p - 1) // 5 + 1) || CASE WHEN p % 5 = 1 THEN '' ELSE '.' || ((p - 1) % 5) END || ' Item ' || doc_id || ' ........ ' || CASE WHEN document_id % 4 = 3 THEN p * 37 % 50 WHEN doc_id % 7 = 0 THEN p + 2 ELSE p END, chr(10) ORDER BY p) AS text FROM d GROUP BY 1
+UNION ALL SELECT document_id, p + 1, 'Item ' || doc_id || chr(10) || text FROM d),
+sp AS (SELECT document_id, page_number, string_split_regex(regexp_replace(regexp_replace(text, '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g'), '\r?\n') AS ls FROM pg),
+li AS (SELECT document_id, page_number, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM sp),
+ln AS (SELECT *, regexp_matches(line, '^\s*(.*?\S)\s*(?::|\.{2,}|\s{2,})\s*(\d+)\s*$') AS paged FROM li WHERE trim(line, ' ') <> ''),
+lk AS (SELECT DISTINCT document_id, page_number, regexp_replace(lower(regexp_replace(line, '^\s*(\d+(?:\.\d+)*)\.?\s+', '')), '[\x09-\x0d ]+', '', 'g') AS key FROM ln),
+fl AS (SELECT document_id, page_number, page_number - row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS run FROM (SELECT document_id, page_number FROM ln GROUP BY 1, 2 HAVING count(*) FILTER (paged) >= 3 AND 2 * count(*) FILTER (paged) >= count(*))),
+ru AS (SELECT document_id, page_number FROM fl JOIN (SELECT document_id, min(run) AS run, min(page_number) AS b FROM fl GROUP BY 1) USING (document_id, run) WHERE b <= 20),
+eb AS (SELECT document_id, page_number, no, line, paged, CASE WHEN paged THEN regexp_extract(line, '^\s*(.*?\S)\s*(?::|\.{2,}|\s{2,})\s*(\d+)\s*$', 1) ELSE trim(line, ' ') END AS body FROM ln JOIN ru USING (document_id, page_number) WHERE paged OR regexp_matches(line, '^\s*(\d+(?:\.\d+)*)\.?\s+')),
+ec AS (SELECT *, nullif(regexp_extract(body, '^\s*(\d+(?:\.\d+)*)\.?\s+', 1), '') AS structure, trim(regexp_replace(body, '^\s*(\d+(?:\.\d+)*)\.?\s+', ''), ' ') AS title, CASE WHEN paged THEN TRY_CAST(regexp_extract(line, '(\d+)\s*$', 1) AS INT) END AS page FROM eb),
+en AS (SELECT document_id, structure, title, page, regexp_replace(lower(regexp_replace(title, '^\s*(\d+(?:\.\d+)*)\.?\s+', '')), '[\x09-\x0d ]+', '', 'g') AS key, row_number() OVER (PARTITION BY document_id ORDER BY page_number, no) - 1 AS idx FROM ec WHERE title <> ''),
+fo AS (SELECT en.document_id, idx, page_number AS pi FROM en JOIN lk USING (document_id, key) WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM ru WHERE ru.document_id = lk.document_id AND ru.page_number = lk.page_number)),
+fi AS (SELECT document_id, idx, min(pi) AS pi FROM fo GROUP BY 1, 2),
+df AS (SELECT document_id, pi - page AS off, count(*) AS n, min(idx) AS f FROM en JOIN fi USING (document_id, idx) WHERE page IS NOT NULL GROUP BY 1, 2),
+og AS (SELECT document_id, off FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, f, off) AS r FROM df) WHERE r = 1),
+lp AS (SELECT document_id, max(page_number) AS last FROM pg GROUP BY 1),
+tr AS (SELECT document_id, idx, structure, title, key, page + off AS pi, 0 AS place FROM en JOIN og USING (document_id) UNION ALL SELECT document_id, idx, structure, title, key, pi, 1 FROM en JOIN fi USING (document_id, idx)),
+sa AS (SELECT document_id, page_number AS pi, regexp_replace(lower(text), '[\x09-\x0d ]+', '', 'g') AS said, regexp_replace(lower(regexp_replace(text, '^\s*(\d+(?:\.\d+)*)\.?\s+', '')), '[\x09-\x0d ]+', '', 'g') AS start FROM pg),
+vr AS (SELECT tr.*, last, coalesce(contains(said, key), false) AS correct FROM tr JOIN lp USING (document_id) LEFT JOIN sa USING (document_id, pi) WHERE tr.pi BETWEEN 1 AND last),
+ch AS (SELECT document_id, min(place) AS place FROM (SELECT document_id, place, CASE WHEN max(pi) < max(last) / 2 THEN 0 ELSE avg(correct::INT) END AS a FROM vr GROUP BY 1, 2) WHERE a > 0.6 GROUP BY 1),
+nb AS (SELECT vr.*, coalesce(last_value(CASE WHEN correct THEN pi END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+coalesce(first_value(CASE WHEN correct THEN pi END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), last) AS hi FROM vr JOIN ch USING (document_id, place)),
+rp AS (SELECT document_id, idx, structure, title, key, coalesce(CASE WHEN NOT correct THEN (SELECT min(fo.pi) FROM fo WHERE fo.document_id = nb.document_id AND fo.idx = nb.idx AND fo.pi BETWEEN lo AND hi) END, pi) AS pi FROM nb),
+st AS (SELECT rp.*, coalesce(starts_with(start, key), false) AS starts FROM rp LEFT JOIN sa USING (document_id, pi)),
+w AS (SELECT document_id, idx, structure, title, pi, starts FROM st UNION ALL SELECT document_id, -1, '0', 'Preface', 1, false FROM (SELECT document_id, arg_min(pi, idx) AS p FROM st GROUP BY 1) WHERE p > 1)
+"""
+
+
+@_query(_BOOKS + r"""SELECT document_id, CAST(idx AS INT) AS idx, structure, title, CAST(pi AS INT) AS start_index, CAST(coalesce(lead(CASE WHEN starts THEN pi - 1 ELSE pi END) OVER (PARTITION BY document_id ORDER BY idx), last) AS INT) AS end_index,
+(SELECT CAST(max(u.idx) AS INT) FROM w u WHERE u.document_id = w.document_id AND u.idx < w.idx AND u.structure = nullif(regexp_extract(w.structure, '^(.*)\.[^.]*$', 1), '')) AS parent_idx FROM w JOIN lp USING (document_id)""")
+def x6_w10_contents_tree(spark, sf_dir):
+    nodes, _ = contents.contents_tree(_books(spark, sf_dir), [DOC])
+    return nodes.select(DOC, "idx", "structure", "title", "start_index", "end_index", "parent_idx")
+
+
 @_query()
 def c6_index_summary(spark, sf_dir):
     return pipelines.tree_summary(flagship(spark, sf_dir))
