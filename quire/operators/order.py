@@ -61,7 +61,7 @@ def has_cycles(elements: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _untangled(rows: pd.DataFrame) -> pd.DataFrame:
-    """One cyclic page: of each cycle that is found the edge that goes most upwards is dropped, then the topological order, ties by place."""
+    """One cyclic page: of each cycle that is found the edge whose upper side rises most is dropped, then the topological order, ties by place."""
     rows = rows.sort_values("idx").reset_index(drop=True)
     n, y = len(rows), rows[["x1", "y1", "x2", "y2"]].to_numpy()
     after = [set() for _ in range(n)]
@@ -88,21 +88,20 @@ def _untangled(rows: pd.DataFrame) -> pd.DataFrame:
                     todo.append(iter(sorted(after[nxt])))
         return None
 
-    middle = (y[:, 1] + y[:, 3]) / 2
     while found := cycle():
-        s, d = min(zip(found, found[1:] + found[:1]), key=lambda e: middle[e[1]] - middle[e[0]])
+        s, d = max(zip(found, found[1:] + found[:1]), key=lambda e: y[e[0], 1] - y[e[1], 1])
         after[s].discard(d)
     waits = [0] * n
     for s in range(n):
         for d in after[s]:
             waits[d] += 1
-    place = lambda i: (y[i, 1], y[i, 0], i)
+    place = lambda i: (y[i, 1], y[i, 0])  # noqa: E731  # of equals the one that was free first
     ready, order = sorted((i for i in range(n) if not waits[i]), key=place), []
     while ready:
         i = ready.pop(0)
         order.append(i)
         fresh = []
-        for d in after[i]:
+        for d in sorted(after[i]):
             waits[d] -= 1
             if not waits[d]:
                 fresh.append(d)

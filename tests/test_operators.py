@@ -84,6 +84,56 @@ def test_reading_order_of_cyclic_pages(spark):
     assert sorted(whole["read_idx"]) == list(range(len(rows)))
 
 
+def _by_rule(boxes, edges):
+    """Of the first cycle that a search in order of numbers meets the edge from the lowest to the highest upper side goes, and so on; then what waits for nothing, the uppermost and leftmost first."""
+    after = {i: sorted(d for s, d in edges if s == i) for i in range(len(boxes))}
+
+    def first_cycle():
+        done = set()
+
+        def down(i, path):
+            for d in after[i]:
+                if d in path:
+                    return path[path.index(d) :]
+                if d not in done and (met := down(d, [*path, d])):
+                    return met
+            done.add(i)
+
+        return next((met for i in after if i not in done and (met := down(i, [i]))), None)
+
+    while cycle := first_cycle():
+        links = list(zip(cycle, cycle[1:] + cycle[:1]))
+        steepest = max(boxes[s][1] - boxes[d][1] for s, d in links)
+        s, d = next(e for e in links if boxes[e[0]][1] - boxes[e[1]][1] == steepest)
+        after[s].remove(d)
+    free, out = [i for i in after if not any(i in to for to in after.values())], []
+    while free:
+        free.sort(key=lambda i: (boxes[i][1], boxes[i][0]))
+        i = free.pop(0)
+        out.append(i)
+        free += [d for d in after[i] if all(d not in to for s, to in after.items() if s not in out)]
+    return out
+
+
+def test_cycles_are_untangled_by_the_rule(spark):
+    rng = random.Random(11)
+    rows = [(p, "text", "t", *(x := rng.randint(0, 40) * 20, y := rng.randint(0, 40) * 20, x + rng.randint(20, 400), y + rng.randint(20, 400))) for p in range(1, 17) for _ in range(24)]
+    el = elements(spark, rows)
+    number = {}
+    for i, r in enumerate(rows):
+        number.setdefault(r[0], []).append(i)
+    edges = {}
+    for r in order.edges(el).collect():
+        edges.setdefault(r["page_number"], []).append((r["src"], r["dst"]))
+    cyclic = {r["page_number"] for r in order.has_cycles(el).where("cyclic").collect()}
+    assert len(cyclic) > 8
+    found = {}
+    for r in order.reading_order(el).orderBy("read_idx").collect():
+        found.setdefault(r["page_number"], []).append(r["seq"])
+    for p, own in number.items():
+        assert found[p] == [own[i] for i in _by_rule([rows[i][3:] for i in own], edges[p])], p
+
+
 def test_two_columns_are_read_one_after_the_other(spark):
     rows = [(1, "text", f"{c}{i}", 50 + 500 * c, 100 + 40 * i, 450 + 500 * c, 130 + 40 * i) for i in range(3) for c in (0, 1)]
     placed = layout.with_column(elements(spark, rows)).collect()
