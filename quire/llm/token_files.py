@@ -5,10 +5,10 @@ documents, or a piece of one that is longer than a frame: a header, the ids and
 models, has a checksum, and can be decoded alone; all blocks of a frame are coded side by side, one
 token of each at a time, so that numpy does the work of the loop over tokens.
 
-A token is coded in up to three steps. Is it what followed the last two tokens before (order 2)? Else, is it what followed the
-last one (order 1)? Both answers are coded with mixed predictions: the stretched probabilities of counters, which know
-how long each order has been right, whether the orders agree and how often the guess was seen in the block at all (order 0), are weighted by what proved right, and squashed. Otherwise the
-four digits of its id to base 16 are coded with adaptive frequencies, each after those before it (order 0). All arithmetic is on integers, so any machine
+Within a block an id goes by its rank, by how many others came first. A token is one of four things: what followed the last two tokens before (order 2), what
+followed the last one (order 1), another id that was in the block (order 0), or a new one. Three answers tell which, coded at once, with mixed predictions: the stretched probabilities of counters, which know
+how long each order has been right, whether the orders agree, how often the guess was there and how many ids are distinct so far (order 0), are weighted by what proved right, and squashed. An id that was
+there is coded by its rank, a new one by how many bits it has, with adaptive frequencies, and by the bits. All arithmetic is on integers, so any machine
 decodes what another coded.
 
 Null and empty texts have the end id only; an empty table has no files. Rows that share an id follow each other by the first characters of their texts, those that
@@ -35,16 +35,18 @@ from .common import kept, quoted, slices, small_batches, staged
 from .vocab import Encoder, public_path
 
 #: Tokens to a block, and to a frame about.
-BLOCK, FRAME = 2048, 3_000_000
+BLOCK, FRAME = 2048, 12_000_000
 #: Bytes of text that one task encodes.
 SHARD_BYTES = 24 << 20
-MAGIC = b"QTF1"
+MAGIC = b"QTF2"
 
-_SLOTS = 2048  # of the tables of each order, in each block
-_ONE, _HALF = 4096, 2048  # probabilities have 12 bits
+_ONE, _HALF, _FULL = 4096, 2048, 65536  # predictions have 12 bits, shares 16
 _MASK = np.uint64((1 << 48) - 1)
-_SQUASH = np.array([round(_ONE / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], dtype=np.int64).clip(1, _ONE - 1)
-_STRETCH = np.array([round(256 * math.log(p / (_ONE - p))) if p else -2047 for p in range(_ONE)], dtype=np.int64).clip(-2047, 2047)
+_SQUASH = np.array([round(_ONE / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], dtype=np.int32).clip(32, _ONE - 32)
+_STRETCH = np.array([round(256 * math.log(p / (_ONE - p))) if p else -2047 for p in range(_ONE)], dtype=np.int32).clip(-2047, 2047)
+# How many bits an id has, 1 for ids 0 and 1; the least id of so many bits.
+_BITS = np.array([max(1, i.bit_length()) for i in range(_FULL)], dtype=np.int64)
+_LEAST = np.array([0, 0, *(1 << b for b in range(1, 16))], dtype=np.int64)
 
 
 class _Coder:
@@ -56,171 +58,210 @@ class _Coder:
     def __init__(self, n: int, most: int, given: np.ndarray | None = None) -> None:
         self.low = np.zeros(n, dtype=np.uint64)
         self.range = np.full(n, _MASK, dtype=np.uint64)
-        self.at = np.zeros(n, dtype=np.int64)
         self.given = given
-        if given is None:
-            self.words = np.zeros((n, most), dtype=np.uint16)
-        else:
+        self.words = (np.zeros((n, most), dtype=np.uint16) if given is None else given).ravel()
+        self.begin = np.arange(n, dtype=np.int64) * (most if given is None else given.shape[1])
+        self.at = self.begin.copy()
+        if given is not None:
             self.code = np.zeros(n, dtype=np.uint64)
             for _ in range(3):
-                self.code = (self.code << np.uint64(16)) | given[np.arange(n), self.at]
+                self.code = (self.code << np.uint64(16)) | self.words[self.at]
                 self.at += 1
 
-    def place(self, k: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Decoding: where in its total each code points."""
-        return np.minimum(((self.code[k] - self.low[k]) & _MASK) // (self.range[k] // total), total - np.uint64(1)).astype(np.int64)
+    def place(self, k: slice | np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Decoding: how many steps into its range each code points."""
+        return (((self.code[k] - self.low[k]) & _MASK) // step).astype(np.int64)
 
-    def narrow(self, k: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Blocks ``k`` go on to ``size`` from ``start`` of ``total``, which is at most 2^16."""
-        step = self.range[k] // total
+    def narrow(self, k: slice | np.ndarray, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
+        """Blocks ``k`` go on to ``size`` from ``start`` in steps of their ranges, of at most 2^16 to a range."""
         low = (self.low[k] + step * start.astype(np.uint64)) & _MASK
         span = step * size.astype(np.uint64)
         self.low[k], self.range[k] = low, span
+        out = None
         while True:
             near = (low ^ (low + span - np.uint64(1))) < np.uint64(1 << 32)
-            out = np.flatnonzero(near | (span < np.uint64(1 << 16)))
-            if not len(out):
+            full = np.flatnonzero(near | (span < np.uint64(1 << 16)))
+            if not len(full):
                 return
-            k, low, span, near = k[out], low[out], span[out], near[out]
+            out = full if out is None and isinstance(k, slice) else (k if out is None else out)[full]
+            low, span, near = low[full], span[full], near[full]
             if not near.all():  # a narrow range across a border of the top bits is given up beyond the border
                 span = np.where(near, span, np.uint64(1 << 16) - (low & np.uint64(0xFFFF)))
+            at = self.at[out]
             if self.given is None:
-                self.words[k, self.at[k]] = (low >> np.uint64(32)).astype(np.uint16)
+                self.words[at] = (low >> np.uint64(32)).astype(np.uint16)
             else:
-                self.code[k] = ((self.code[k] << np.uint64(16)) & _MASK) | self.given[k, self.at[k]]
-            self.at[k] += 1
+                self.code[out] = ((self.code[out] << np.uint64(16)) & _MASK) | self.words[at]
+            self.at[out] = at + 1
             low = (low << np.uint64(16)) & _MASK
             span = span << np.uint64(16)
-            self.low[k], self.range[k] = low, span
+            self.low[out], self.range[out] = low, span
 
     def finish(self) -> list[bytes]:
         for _ in range(3):
-            self.words[np.arange(len(self.low)), self.at] = (self.low >> np.uint64(32)).astype(np.uint16)
+            self.words[self.at] = (self.low >> np.uint64(32)).astype(np.uint16)
             self.low = (self.low << np.uint64(16)) & _MASK
             self.at += 1
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.at.tolist())]
+        return [self.words[a:b].astype("<u2").tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist())]
 
 
-class _Order:
-    """For each context's slot what followed it last, and how often in a row; with a counter for each such state."""
+class _Decisions:
+    """Three binary answers, each by mixing four predictions, whose counters are chosen by states under 128."""
 
     def __init__(self, n: int) -> None:
-        self.token = np.zeros((n, _SLOTS), dtype=np.int32)
-        self.run = np.zeros((n, _SLOTS), dtype=np.int8)
-
-    def look(self, k: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.token[k, slot], self.run[k, slot].astype(np.int64)
-
-    def learn(self, k: np.ndarray, slot: np.ndarray, token: np.ndarray, guess: np.ndarray, run: np.ndarray) -> None:
-        right = token == guess
-        self.token[k, slot] = token
-        self.run[k, slot] = np.where(right, np.minimum(run + 1, 7), 1)
-
-
-class _Seen:
-    """How often each token was there in the block, by hashed slots."""
+        self.p = np.full(n * 12 * 128, _HALF, dtype=np.int16)
+        self.w = np.full((3, 4, n), 20000, dtype=np.int32)
+        self.base = (np.arange(n) * 12 + np.arange(12).reshape(3, 4, 1)) * 128
+
+    def predict(self, m: int, states: np.ndarray) -> np.ndarray:
+        self.at = states + self.base[:, :, :m]
+        self.was = self.p.take(self.at)
+        self.s = _STRETCH.take(self.was)
+        self.mixed = _SQUASH.take(((self.s * self.w[:, :, :m]).sum(axis=1, dtype=np.int32) >> 16).clip(-2047, 2047) + 2047)
+        return self.mixed
+
+    def learn(self, m: int, asked: np.ndarray, yes: np.ndarray) -> None:
+        """From the answers ``yes`` to those that were ``asked``."""
+        target = yes * np.int32(_ONE - 1)
+        w = self.w[:, :, :m]
+        w += (self.s * ((target - self.mixed) * asked)[:, None]) >> 11
+        np.clip(w, -(1 << 17), 1 << 17, out=w)  # so that sums fit in 32 bits
+        step = ((target[:, None] - self.was) >> 4) * asked[:, None]
+        self.p[self.at] = (self.was + step).clip(32, _ONE - 32)
+
+
+class _Sizes:
+    """Adaptive frequencies of how many bits an id has, 1 to 16, as running sums."""
 
     def __init__(self, n: int) -> None:
-        self.count = np.zeros((n, _SLOTS), dtype=np.int8)
-
-    def look(self, k: np.ndarray, token: np.ndarray) -> np.ndarray:
-        return self.count[k, (token * 25717 >> 4) % _SLOTS].astype(np.int64)
-
-    def learn(self, k: np.ndarray, token: np.ndarray) -> None:
-        slot = (token * 25717 >> 4) % _SLOTS
-        self.count[k, slot] = np.minimum(self.count[k, slot] + 1, 15)
-
-
-class _Decision:
-    """A binary answer by mixing four predictions: by the one order's state, by the other's, by both, and by how often the guess was seen."""
-
-    def __init__(self, n: int) -> None:
-        self.p = np.full((n, 4, 128), _HALF, dtype=np.int64)
-        self.w = np.full((n, 4), 20000, dtype=np.int64)
-
-    def predict(self, k: np.ndarray, states: tuple[np.ndarray, ...]) -> tuple:
-        at = np.stack(states, 1)
-        p = self.p[k[:, None], [0, 1, 2, 3], at]
-        s = _STRETCH[p]
-        mixed = ((s * self.w[k]).sum(axis=1) >> 16).clip(-2047, 2047)
-        return _SQUASH[mixed + 2047], p, s, at
-
-    def learn(self, k: np.ndarray, hit: np.ndarray, made: tuple) -> None:
-        mixed, p, s, at = made
-        target = hit * (_ONE - 1)
-        self.w[k] += (s * (target - mixed)[:, None]) >> 11
-        self.p[k[:, None], [0, 1, 2, 3], at] = (p + ((target[:, None] - p) >> 4)).clip(32, _ONE - 32)
-
-
-class _Frequencies:
-    """Adaptive frequencies of four-bit digits in some contexts, as running sums."""
-
-    def __init__(self, n: int, contexts: int) -> None:
-        self.sums = np.tile(np.arange(17, dtype=np.int16), (n * contexts, 1))
-        self.contexts, self.steps = contexts, np.arange(17)[None, :]
-
-    def code(self, coder: _Coder, k: np.ndarray, context: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
-        at = k * self.contexts + context
-        sums = self.sums[at]
-        total = sums[:, 16].astype(np.uint64)
-        if digit is None:
-            digit = (sums <= coder.place(k, total)[:, None]).sum(axis=1) - 1
+        self.sums = np.tile(np.arange(17, dtype=np.int16), (n, 1))
+        self.steps = np.arange(17)[None, :]
+
+    def code(self, coder: _Coder, k: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+        sums = self.sums[k]
+        step = coder.range[k] // sums[:, 16].astype(np.uint64)
+        if bits is None:
+            bits = (sums[:, :16] <= coder.place(k, step)[:, None]).sum(axis=1)
         rows = np.arange(len(k))
-        start = sums[rows, digit]
-        coder.narrow(k, start, sums[rows, digit + 1] - start, total)
-        sums += (self.steps > digit[:, None]) * np.int16(24)
+        start = sums[rows, bits - 1]
+        coder.narrow(k, start, sums[rows, bits] - start, step)
+        sums += (self.steps >= bits[:, None]) * np.int16(24)
         if (full := sums[:, 16] > 6000).any():
             sums[full, 1:] = np.cumsum((np.diff(sums[full], axis=1) + 1) >> 1, axis=1)
-        self.sums[at] = sums
-        return digit
+        self.sums[k] = sums
+        return bits
+
+
+def _ranked(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each place of each row how many distinct ids came before that id's first place, the distinct ids of the row in that order)."""
+    ranks, distinct = np.empty(grid.shape, dtype=np.int16), np.zeros(grid.shape, dtype=np.uint16)
+    for a in range(0, len(grid), 256):
+        ranks[a : a + 256], distinct[a : a + 256] = _ranked_rows(grid[a : a + 256])
+    return ranks, distinct
+
+
+def _ranked_rows(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.arange(len(grid))[:, None]
+    order = np.argsort(grid, axis=1, kind="stable")
+    ids = np.take_along_axis(grid, order, 1)
+    new = np.ones(grid.shape, dtype=bool)
+    new[:, 1:] = ids[:, 1:] != ids[:, :-1]
+    first = np.zeros(grid.shape, dtype=bool)
+    first[rows, order] = new
+    number = np.cumsum(first, axis=1, dtype=np.int16) - np.int16(1)
+    starts = np.maximum.accumulate(np.where(new, np.arange(grid.shape[1], dtype=np.int16), np.int16(0)), axis=1)
+    ranks = np.empty(grid.shape, dtype=np.int16)
+    ranks[rows, order] = np.take_along_axis(np.take_along_axis(number, order, 1), starts, 1)
+    distinct = np.zeros(grid.shape, dtype=np.uint16)
+    at = np.nonzero(first)
+    distinct[at[0], number[at]] = grid[at]
+    return ranks, distinct
 
 
 def _run(coder: _Coder, lengths: np.ndarray, tokens: np.ndarray | None) -> np.ndarray:
-    """Codes the tokens of all blocks (rows, longest first), or decodes them."""
+    """Codes the tokens of all blocks (rows, longest first), or decodes them. Within a block an id goes by its rank: how many others came first."""
     n, steps = len(lengths), int(lengths.max())
     coding = tokens is not None
-    out = tokens if coding else np.zeros((n, steps), dtype=np.int64)
-    two, one, seen = _Order(n), _Order(n), _Seen(n)
-    first, second = _Decision(n), _Decision(n)
-    digits = [_Frequencies(n, c) for c in (1, 16, 256, 256)]
-    whole = np.uint64(_ONE)
+    base = np.arange(n) * BLOCK
+    if coding:
+        ranks, ids = _ranked(tokens[:, :steps])
+        out = np.ascontiguousarray(ranks.T)
+        ids = np.pad(ids, ((0, 0), (0, BLOCK - steps))).ravel()
+    else:
+        out, ids = np.zeros((steps, n), dtype=np.int16), np.zeros(n * BLOCK, dtype=np.uint16)
+    # What followed a context last, times 8, and how often in a row, up to 7; how often a rank was there, up to 15.
+    two, one, count = np.zeros(n * BLOCK, dtype=np.int16), np.zeros(n * BLOCK, dtype=np.int16), np.zeros(n * BLOCK, dtype=np.int8)
+    number = np.zeros(n, dtype=np.int64)  # of distinct ids so far
+    model, sizes = _Decisions(n), _Sizes(n)
+    all_states, none = np.empty((3, 4, n), dtype=np.int64), np.zeros(n, dtype=np.int64)
     for t in range(steps):
-        k = np.arange(int(np.searchsorted(-lengths, -t, side="left")))  # blocks with a token left
-        none = np.zeros(len(k), dtype=np.int64)
-        last, before = out[k, t - 1] if t else none, out[k, t - 2] if t > 1 else none
-        slot2, slot1 = ((before * 40503 + last * 30011) >> 3) % _SLOTS, ((last * 40503) >> 2) % _SLOTS
-        guess2, run2 = two.look(k, slot2)
-        guess1, run1 = one.look(k, slot1)
-        same = ((guess1 == guess2) & (run2 > 0)).astype(np.int64)
-        states = run2, run1 + 8 * same, run2 * 8 + run1 + 64 * same
-        token = out[k, t] if coding else none.copy()
-        settled = np.zeros(len(k), dtype=bool)
-        for model, guess, asked in ((first, guess2, run2 > 0), (second, guess1, (run1 > 0) & (same == 0))):
-            rest = np.flatnonzero(asked & ~settled)
-            if not len(rest):
-                continue
-            often = seen.look(rest, guess[rest])
-            made = model.predict(rest, (*(s[rest] for s in states), often * 8 + states[2][rest] % 8))
-            p = made[0]
-            hit = ((token[rest] == guess[rest]) if coding else (coder.place(rest, whole) < p)).astype(np.int64)
-            coder.narrow(rest, np.where(hit, 0, p), np.where(hit, p, _ONE - p), whole)
-            model.learn(rest, hit, made)
-            right = rest[hit == 1]
-            token[right] = guess[right]
-            settled[right] = True
-        rest = np.flatnonzero(~settled)
+        m = int(np.searchsorted(-lengths, -t, side="left"))  # blocks with a token left
+        k, here = slice(0, m), base[:m]
+        last, before = ((out[t - i, :m] if t >= i else none[:m]).astype(np.int64) for i in (1, 2))
+        at1, at2 = here + last, here + ((before * 797 + last * 1181 + (before >> 3)) & (BLOCK - 1))
+        held1, held2 = one.take(at1), two.take(at2)
+        guess1, run1, guess2, run2 = held1 >> 3, held1 & 7, held2 >> 3, held2 & 7
+        distinct = number[:m]
+        can2 = run2 > 0
+        same = (guess1 == guess2) & can2
+        can1 = (run1 > 0) & ~same
+        states = all_states[:, :, :m]
+        states[:, 0], states[:, 1] = run2, run1 + 8 * same
+        states[:, 2] = states[0, 0] * 8 + states[0, 1] + 56 * same
+        states[0, 3] = count.take(here + guess2) * np.int16(8) + run1
+        states[1, 3] = count.take(here + guess1) * np.int16(8) + run2
+        states[2, 3] = distinct * 127 // (t + 1)
+        p2, p1, p0 = model.predict(m, states)
+        # Shares of 2^16: the guess of order 2, that of order 1, another id that was there, a new one.
+        size2 = (p2 << 4) * can2
+        size1 = ((_FULL - size2) * p1.astype(np.int64) >> 12) * can1
+        left = _FULL - size2 - size1
+        size0 = 1 + ((left - 2) * p0 >> 12)
+        start0, start9 = size2 + size1, size2 + size1 + size0
+        step = coder.range[k] >> np.uint64(16)
+        if coding:
+            rank = out[t, :m].astype(np.int64)
+            hit2 = (rank == guess2) & can2
+            hit1 = (rank == guess1) & can1 & ~hit2
+            old = rank < distinct
+        else:
+            place = np.minimum(coder.place(k, step), _FULL - 1)
+            hit2, hit1, old = place < size2, (place >= size2) & (place < start0), place < start9
+            rank = np.where(hit2, guess2, np.where(hit1, guess1, distinct))
+        miss = ~(hit2 | hit1)
+        start = np.where(hit2, 0, np.where(hit1, size2, np.where(old, start0, start9)))
+        size = np.where(hit2, size2, np.where(hit1, size1, np.where(old, size0, _FULL - start9)))
+        coder.narrow(k, start, size, step)
+        model.learn(m, np.stack((can2, can1 & ~hit2, miss)), np.stack((hit2, hit1, old)))
+        rest = np.flatnonzero(miss)
         if len(rest):
-            # The first digits of the id are the context of the next; of the last, as much as fits.
-            known = np.zeros(len(rest), dtype=np.int64)
-            for i, model in enumerate(digits):
-                context = known if i < 3 else (known * 37) & 255
-                known = known << 4 | model.code(coder, rest, context, (token[rest] >> (12 - 4 * i)) & 15 if coding else None)
-            token[rest] = known
-        out[k, t] = token
-        seen.learn(k, token)
-        two.learn(k, slot2, token, guess2, run2)
-        one.learn(k, slot1, token, guess1, run1)
-    return out
+            fresh = ~old[rest]
+            new = rest[fresh]
+            total = distinct[rest]
+            if len(new):
+                at = base[new] + distinct[new]
+                bits = sizes.code(coder, new, _BITS[ids[at]] if coding else None)
+                total[fresh] = 1 << np.maximum(bits - 1, 1)
+            step = coder.range[rest] // total.astype(np.uint64)
+            if coding:
+                place = rank[rest]
+                if len(new):
+                    place[fresh] = ids[at] - _LEAST[bits]
+            else:
+                place = np.minimum(coder.place(rest, step), total - 1)
+                rank[rest[~fresh]] = place[~fresh]
+                if len(new):
+                    ids[at] = place[fresh] + _LEAST[bits]
+            coder.narrow(rest, place, np.ones_like(place), step)
+            if len(new):
+                number[new] += 1
+        if not coding:
+            out[t, :m] = rank
+        one[at1] = (rank << 3) + np.where((rank == guess1) & (run1 > 0), np.minimum(run1 + 1, 7), 1)
+        two[at2] = (rank << 3) + np.where((rank == guess2) & can2, np.minimum(run2 + 1, 7), 1)
+        at = here + rank
+        count[at] = np.minimum(count.take(at) + 1, 15)
+    return tokens if coding else np.take_along_axis(ids.reshape(n, BLOCK), out.T.astype(np.int64), 1).astype(np.int64)
 
 
 def _lengths(n: int) -> np.ndarray:
@@ -232,7 +273,7 @@ def encode_tokens(tokens: np.ndarray) -> bytes:
     lengths = _lengths(len(tokens))
     if not len(lengths):
         return struct.pack("<I", 0)
-    grid = np.zeros((len(lengths), BLOCK), dtype=np.int64)
+    grid = np.zeros((len(lengths), BLOCK), dtype=np.uint16)
     grid.ravel()[: len(tokens)] = tokens
     coder = _Coder(len(lengths), 6 * BLOCK + 16)
     _run(coder, lengths, grid)
@@ -249,7 +290,7 @@ def decode_tokens(data: bytes, n: int, only: list[int] | None = None) -> np.ndar
     lengths, take = _lengths(n), list(range(count)) if only is None else only
     if not take:
         return np.zeros(0, dtype=np.int64)
-    given = np.zeros((len(take), int(table[take, 0].max()) // 2), dtype=np.uint64)
+    given = np.zeros((len(take), int(table[take, 0].max()) // 2 + 1), dtype=np.uint16)
     for row, b in enumerate(take):
         block = data[int(ends[b] - table[b, 0]) : int(ends[b])]
         if zlib.crc32(block) != table[b, 1]:
