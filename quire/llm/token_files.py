@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, quoted, slices, small_batches, staged
+from .common import forget, kept, quoted, slices, small_batches, staged
 from .vocab import Encoder, public_path
 
 #: Tokens to a block, and to a frame about.
-BLOCK, FRAME = 2048, 12_000_000
+BLOCK, FRAME = 2048, 6_000_000
 #: Bytes of text that one task encodes.
 SHARD_BYTES = 24 << 20
 MAGIC = b"QTF2"
@@ -361,6 +361,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         tokens += len(doc)
         if held:
             yield give(ids, held)
+        forget()  # a worker that waits for a task shall hold nothing
 
     return staged(ordered.mapInArrow(run, "part int, frame int, before long, n_tokens long, of long, lead long, payload binary"))
 
@@ -379,6 +380,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
         return i, start, len(ids), crc, *([ids] if with_ids else [])
 
     def whole(batches):
+        forget()  # encoders of tasks before
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
