@@ -127,6 +127,19 @@ def test_op4(spark, docs):
     assert got(rows, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
 
 
+def test_op4_codes_ids_of_any_kind():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 2048, 2049, 7000):
+        for x in (rng.integers(0, 65536, n), np.full(n, 65535), np.arange(n) % 2 * 65535, np.arange(n), rng.zipf(1.2, n) % 50257, np.tile(rng.integers(0, 65536, 37), n // 37 + 1)[:n]):
+            data = token_files.encode_tokens(x.astype(np.int64))
+            assert (token_files.decode_tokens(data, n) == x).all()
+            last = -(-n // 2048) - 1
+            assert (token_files.decode_tokens(data, n, [last]) == x[last * 2048 :]).all()
+    # What came before in a block is cheaper than what didn't, and order 2 tells more than order 0.
+    sizes = [len(token_files.encode_tokens(x)) for x in (np.tile(rng.permutation(50000)[:256], 64), rng.integers(0, 256, 16384), rng.integers(0, 65536, 16384))]
+    assert sizes[0] < sizes[1] / 2 < sizes[2] / 2
+
+
 def test_op5(frame, docs):
     few = docs[:110] + docs[-10:]
     assert got(simhash.near_duplicates(frame), "doc_id", "fingerprint", "component_id") == H.components(docs)
