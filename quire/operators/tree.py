@@ -144,3 +144,18 @@ def nested_json(rows: DataFrame, by: list[str], fields: list[str], depths: int |
         with_kids = F.concat(F.expr("left(j, length(j) - 1)"), F.when(F.length("j") > 2, F.lit(",")).otherwise(F.lit("")), F.lit('"children":['), F.array_join("kids", ","), F.lit("]}"))
         done = here.withColumn("j", flat).withColumn("json", F.when(F.size("kids") > 0, with_kids).otherwise(F.col("j"))).select(*by, "idx", "parent_idx", "json")
     return done.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "json"))), lambda x: x["json"]), ",").alias("j")).select(*by, F.concat(F.lit("["), F.col("j"), F.lit("]")).alias("tree"))
+
+
+def nested_json_in_order(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """What ``nested_json`` gives, for trees whose rows come depth first by ``idx``, as ``with_parents`` makes them: each node's text opens it and
+    closes what ends with it, so that any number of depths takes one window and one aggregation."""
+    w = W.partitionBy(*by).orderBy("idx")
+    before, after, j = F.lag("depth").over(w), F.lead("depth").over(w), F.to_json(F.struct(*fields))
+    comma = F.when(before >= F.col("depth"), F.lit(",")).otherwise(F.lit(""))
+    opened = F.concat(F.expr("left(j, length(j) - 1)"), F.when(F.length("j") > 2, F.lit(",")).otherwise(F.lit("")), F.lit('"children":['))
+    closed = F.concat("j", F.repeat(F.lit("]}"), F.col("depth") - F.coalesce("after", F.lit(0))))
+    texts = rows.select(*by, "idx", "depth", comma.alias("comma"), after.alias("after"), j.alias("j")).select(
+        *by, "idx", F.concat("comma", F.when(F.col("after") > F.col("depth"), opened).otherwise(closed)).alias("text")
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "")
+    return texts.groupBy(*by).agg(F.concat(F.lit("["), whole, F.lit("]")).alias("tree"))

@@ -415,7 +415,7 @@ def o7_r7_whole_summary_lines(spark, sf_dir):
 
 @_query(_NESTED)
 def r1_r4_r9_nested_json(spark, sf_dir):
-    return tree.nested_json(tree.with_node_ids(_nodes(spark, sf_dir), [DOC]), [DOC], ["node_id", "title"])
+    return tree.nested_json_in_order(tree.with_node_ids(_nodes(spark, sf_dir), [DOC]), [DOC], ["node_id", "title"])
 
 
 # Markdown

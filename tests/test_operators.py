@@ -183,6 +183,19 @@ def test_nested_json_of_deep_trees(spark):
     assert tree.nested_json(rows.where("false"), ["document_id"], ["title"]).count() == 0
 
 
+def test_nested_json_in_order_is_the_same(spark):
+    import json
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"d{d}", i, rng.randint(0, 5), rng.choice([None, "", 'a "b"', "c\n", "d"]), None if rng.random() < 0.2 else i) for d in range(30) for i in range(rng.randint(1, 25))]
+    made = tree.with_parents(spark.createDataFrame(rows, "document_id string, idx int, level int, title string, page int"), ["document_id"])
+    got, want = (sorted(map(tuple, f(made, ["document_id"], ["title", "page"]).collect())) for f in (tree.nested_json_in_order, tree.nested_json))
+    assert got == want and len(got) == 30
+    assert all(json.loads(t) for _, t in got)
+    assert tree.nested_json_in_order(made.where("false"), ["document_id"], ["title"]).count() == 0
+
+
 def test_nested_json_has_whole_titles(spark):
     import json
 
