@@ -185,7 +185,6 @@ def test_nested_json_of_deep_trees(spark):
 
 def test_nested_json_in_order_is_the_same(spark):
     import json
-    import random
 
     rng = random.Random(5)
     rows = [(f"d{d}", i, rng.randint(0, 5), rng.choice([None, "", 'a "b"', "c\n", "d"]), None if rng.random() < 0.2 else i) for d in range(30) for i in range(rng.randint(1, 25))]
