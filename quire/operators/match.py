@@ -14,7 +14,7 @@ from .filters import DOC
 HEADING = ("title", "heading", "sub_title", "subtitle")
 
 
-#: Blocks by which a title is found inside another, and how long it must be to hold a whole one wherever it starts; sides of the cells in which boxes meet.
+#: Blocks by which a title is found inside another: their sizes, and how long a title must be to hold a whole one wherever it starts. Sides of the cells in which boxes meet.
 BLOCKS, CELL = ((8, 15), (3, 5), (1, 1)), 256
 
 
@@ -25,11 +25,22 @@ def _asked(text: str) -> Column:
 
 
 def _held(text: str) -> Column:
-    """A text's blocks, each once."""
-    cut = [f"regexp_extract_all(t, '(?s).{{{size}}}', 0)" for size, _ in BLOCKS]
+    """A text's blocks, each once, of the sizes that are asked for (``has_8`` and so on)."""
+    cut = [f"CASE WHEN has_{size} THEN regexp_extract_all(t, '(?s).{{{size}}}', 0) ELSE array() END" for size, _ in BLOCKS]
     return _once(text, f"array_distinct(concat({', '.join(cut)}))")
 
 
+def _start(text: str) -> Column:
+    """The first characters of a text, as many as the largest block that fits."""
+    return F.expr("CASE " + " ".join(f"WHEN length({text}) >= {size} THEN substring({text}, 1, {size})" for size, _ in BLOCKS) + " END")
+
+
+def _runs(text: str) -> Column:
+    """All runs of a text that ``_start`` may give, each once."""
+    runs = [f"CASE WHEN length(t) >= {size} THEN transform(sequence(1, length(t) - {size - 1}), i -> substring(t, i, {size})) ELSE array() END" for size, _ in BLOCKS]
+    return _once(text, f"array_distinct(concat({', '.join(runs)}))")
+
+
 def _once(text: str, made: str) -> Column:
     """The array that ``made`` says of ``t``, where the text behind it is computed once and not for each of its blocks."""
     return F.expr(f"flatten(transform(array({text}), t -> {made}))")
@@ -42,36 +53,56 @@ def _cells(prefix: str) -> Column:
     return F.flatten(F.transform(along("x1", "x2"), lambda x: F.transform(along("y1", "y2"), lambda y: x.cast("long") * 1000003 + y)))
 
 
+def _within(titles: DataFrame, headings: DataFrame) -> DataFrame:
+    """(document, ht, at): for each of ``titles(ht)`` the first of the headings that hold it or that it holds.
+
+    A title that a heading holds shares a block with it, and one that holds a heading shares that heading's start. Equal texts are one row, and
+    documents in which no title is asked for give none.
+    """
+    size = F.length("ht")
+    edges = zip((None, *[least for _, least in BLOCKS]), BLOCKS)
+    kinds = [F.max((size >= least) & (F.lit(True) if top is None else size < top)).alias(f"has_{n}") for top, (n, least) in edges]
+    asked = titles.groupBy(DOC).agg(*kinds, F.min(size).alias("least"), F.max(size).alias("most"))
+    texts = headings.join(asked, DOC).groupBy(DOC, "et", *[f"has_{n}" for n, _ in BLOCKS], "least", "most").agg(F.min(F.struct("page_number", "seq")).alias("at"))
+    larger = texts.where(F.length("et") >= F.col("least")).select(DOC, "et", "at", F.explode(_held("et")).alias("block"))
+    smaller = texts.where(F.length("et") <= F.col("most")).select(DOC, "et", "at", _start("et").alias("block"))
+    inside = titles.withColumn("block", F.explode(_asked("ht"))).join(larger, [DOC, "block"]).where(F.contains("et", "ht"))
+    around = titles.withColumn("block", F.explode(_runs("ht"))).join(smaller, [DOC, "block"]).where(F.contains("ht", "et"))
+    return inside.select(DOC, "ht", "at").unionByName(around.select(DOC, "ht", "at")).groupBy(DOC, "ht").agg(F.min("at").alias("at"))
+
+
 def best_matches(headers: DataFrame, elements: DataFrame, least: float = 0.2) -> DataFrame:
     """(document, h_idx, seq, match_score): of a document's elements the one that fits a header best, the first of equals.
 
     Equal titles fit by 0.9, a title inside the other by 0.6 if the label is a heading's, overlapping boxes (where a header has one) by their overlap over 0.3.
 
-    Each way has candidates of its own: equal titles; a title that shares a block with a heading that may hold it, or the other way round; and boxes that
-    share a cell of the page. Only these are scored, so no header meets all elements of its document.
+    Only the first element of each text and of each box can win, so those are what headers meet: by digests of the whole texts, then, if no text
+    is equal, by blocks of the headings', and by cells of the page. Pairs of copies are never made, and no text is sent that isn't a heading's or a header's.
     """
     low = lambda c: F.lower(txt.stripped(F.coalesce(F.col(c), F.lit(""))))
+    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
+    first = F.min(F.struct("page_number", "seq")).alias("at")
     corners = [c for c in ("x1", "y1", "x2", "y2") if c in headers.columns]
     heads = headers.select(DOC, F.col("idx").alias("h_idx"), low("title").alias("ht"), *[F.col(c).alias(f"h_{c}") for c in corners])
     rows = elements.select(DOC, "page_number", "seq", "label", low("text_content").alias("et"), "x1", "y1", "x2", "y2")
-    titled, headings = heads.where("ht <> ''"), rows.where(F.lower("label").isin(*HEADING) & (F.col("et") != ""))
-    met = [titled.join(rows, (titled[DOC] == rows[DOC]) & (titled["ht"] == rows["et"])).drop(rows[DOC])]
-    for inner, outer, small, large in ((titled, headings, "ht", "et"), (headings, titled, "et", "ht")):
-        asked, held = inner.withColumn("block", F.explode(_asked(small))), outer.withColumn("_block", F.explode(_held(large))).withColumnRenamed(DOC, "_doc")
-        met.append(asked.join(held, (F.col(DOC) == F.col("_doc")) & (F.col("block") == F.col("_block")) & F.contains(large, small)).drop("_doc", "block", "_block"))
+    titled, named = heads.where("ht <> ''"), rows.where("et <> ''")
+    equal = titled.select(DOC, "h_idx", "ht", digest("ht").alias("key")).join(named.groupBy(DOC, digest("et").alias("key")).agg(first), [DOC, "key"], "left")
+    apart = equal.where("at is null").select(DOC, "h_idx", "ht")
+    within = _within(apart.select(DOC, "ht").distinct(), named.where(F.lower("label").isin(*HEADING)))
+    scored = lambda df, score: df.select(DOC, "h_idx", score.alias("match_score"), "at")
+    met = [scored(equal.where("at is not null"), F.lit(0.9)), scored(apart.join(within, [DOC, "ht"]), F.lit(0.6))]
     if len(corners) == 4:
-        near = heads.withColumn("cell", F.explode(_cells("h_"))).join(rows.withColumn("cell", F.explode(_cells(""))), [DOC, "cell"]).drop("cell")
-        met.append(near)
-    pairs = met[0]
+        boxes = rows.groupBy(DOC, "x1", "y1", "x2", "y2").agg(first)
+        near = heads.withColumn("cell", F.explode(_cells("h_"))).join(boxes.withColumn("cell", F.explode(_cells(""))), [DOC, "cell"])
+        over = geo.iou(geo.box("h_"), geo.box())
+        met.append(scored(near.where(over > 0.3), over))
+    found = met[0]
     for more in met[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = pairs.dropDuplicates([DOC, "h_idx", "page_number", "seq"])
-    same = F.when((F.col("ht") == F.col("et")) & (F.col("ht") != ""), 0.9)
-    part = F.when((F.col("ht") != "") & (F.col("et") != "") & (F.contains("et", "ht") | F.contains("ht", "et")) & F.lower("label").isin(*HEADING), 0.6)
-    over = geo.iou(geo.box("h_"), geo.box()) if "h_x1" in pairs.columns else F.lit(0.0)
-    score = F.greatest(F.coalesce(same, F.lit(0.0)), F.coalesce(part, F.lit(0.0)), F.when(over > 0.3, over).otherwise(F.lit(0.0)))
-    first = F.struct((-score).alias("s"), "page_number", "seq")
-    return pairs.withColumn("match_score", score).where(F.col("match_score") > least).groupBy(DOC, "h_idx").agg(F.min(first).alias("b"), F.max("match_score").alias("match_score")).select(DOC, "h_idx", F.col("b.page_number").alias("page_number"), F.col("b.seq").alias("seq"), "match_score")
+        found = found.unionByName(more)
+    best = F.min(F.struct((-F.col("match_score")).alias("s"), "at")).alias("b")
+    return found.where(F.col("match_score") > least).groupBy(DOC, "h_idx").agg(best).select(
+        DOC, "h_idx", F.col("b.at.page_number").alias("page_number"), F.col("b.at.seq").alias("seq"), (-F.col("b.s")).alias("match_score")
+    )
 
 
 def blended_level(md: Column, sp: Column, label: Column) -> Column:

@@ -61,6 +61,31 @@ def test_matches_against_all_pairs(spark, boxes):
     assert got == brute_matches(heads, rows)
 
 
+def most_rows(df):
+    """The most rows that any step of a frame's plan gave when it was collected."""
+    def walk(node):
+        names = {"AdaptiveSparkPlanExec": "finalPhysicalPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ReusedExchangeExec": "child"}
+        kind = node.getClass().getSimpleName()
+        if kind in names:
+            return walk(getattr(node, names[kind])())
+        here = node.metrics().get("numOutputRows")
+        kids = node.children()
+        return max([here.get().value() if here.isDefined() else 0, *[walk(kids.apply(i)) for i in range(kids.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("title", ["the introduction to methods", "introduction", "about the introduction to methods, and of what follows from them"])
+def test_matches_of_copies_are_not_all_pairs(spark, title):
+    rows = [("d", 1 + i // 50, i, "title", "the introduction to methods", 0, 0, 9, 9) for i in range(300)]
+    el = spark.createDataFrame(rows, "document_id string, page_number int, seq int, label string, text_content string, x1 int, y1 int, x2 int, y2 int")
+    heads = [("d", i, title, None) for i in range(300)]
+    best = match.best_matches(spark.createDataFrame([h[:3] for h in heads], "document_id string, idx int, title string"), el)
+    got = {(r["document_id"], r["h_idx"]): (r["page_number"], r["seq"], r["match_score"]) for r in best.collect()}
+    assert got == brute_matches(heads, rows)
+    assert most_rows(best) < 5000
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
