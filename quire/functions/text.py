@@ -19,6 +19,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text where only equality counts, so that the text itself needn't be sent."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as geo
@@ -29,9 +29,21 @@ def repetitions(elements: DataFrame, min_pages: int = 3, page_height: float = 10
         F.avg("y1").alias("avg_y"),
         F.min_by("text_content", at).alias("first_text"),
     )
+    return found.where(F.col("n_pages") >= min_pages).withColumn("zone", _zone(page_height))
+
+
+def _zone(page_height: float) -> Column:
     share = F.col("avg_y") / F.lit(page_height)
-    zone = F.when(share < 0.15, "header").when(share > 0.85, "footer").otherwise("unknown")
-    return found.where(F.col("n_pages") >= min_pages).withColumn("zone", zone)
+    return F.when(share < 0.15, "header").when(share > 0.85, "footer").otherwise("unknown")
+
+
+def repeated_forms(elements: DataFrame, min_pages: int = 3, page_height: float = 1000.0) -> DataFrame:
+    """(document, key, zone) of what ``repetitions`` finds, with the digest of the form in place of texts: none is sent, and each page of a form is counted once."""
+    form = F.filter(F.array(txt.matching_form(F.col("text_content"))), lambda f: f != "")  # an array, so that it is computed once and not again to filter rows
+    shown = elements.where(F.length(txt.stripped(F.coalesce(F.col("text_content"), F.lit("")))) >= 3).select(DOC, "page_number", "y1", F.explode(form).alias("form"))
+    pages = shown.groupBy(DOC, txt.digest(F.col("form")).alias("key"), "page_number").agg(F.sum(F.col("y1").cast("double")).alias("y"), F.count("y1").alias("n"))
+    found = pages.groupBy(DOC, "key").agg(F.count("page_number").alias("n_pages"), (F.sum("y") / F.sum("n")).alias("avg_y"))
+    return found.where(F.col("n_pages") >= min_pages).select(DOC, "key", _zone(page_height).alias("zone"))
 
 
 def repeated_pages(elements: DataFrame, repeated: DataFrame) -> DataFrame:

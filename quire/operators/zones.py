@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quire.functions import geometry as geo
 from quire.functions import text as txt
 
-from .filters import DOC, page_dims, repetitions
+from .filters import DOC, page_dims, repeated_forms
 
 #: Fixed values.
 LABEL_ZONES = {
@@ -69,20 +70,27 @@ def classified(elements: DataFrame, repeated: DataFrame | None = None, factor: f
     position and geometry that says anything, else it is main text.
     """
     columns = elements.columns
-    repeated = (repetitions(elements) if repeated is None else repeated).where("zone in ('header', 'footer')").select(DOC, "form", F.col("zone").alias("rep_zone"))
-    out = elements.withColumn("form", txt.matching_form(F.col("text_content"))).join(repeated, [DOC, "form"], "left").join(page_dims(elements, factor), DOC)
+    keyed = repeated_forms(elements) if repeated is None else repeated.select(DOC, txt.digest(F.col("form")).alias("key"), "zone")
+    keyed = keyed.where("zone in ('header', 'footer')").select(DOC, F.col("key").alias("_form"), F.col("zone").alias("_rep_zone"))
     w, h = F.col("width"), F.col("height")
-    out = out.select(*columns, "rep_zone", by_label().alias("l"), by_text().alias("t"), by_position(w, h).alias("p"), by_geometry(w, h).alias("g"))
+    form = txt.digest(txt.matching_form(F.col("text_content")))
+    out = elements.join(page_dims(elements, factor), DOC).select(*columns, form.alias("_form"), by_label().alias("l"), by_text().alias("t"), by_position(w, h).alias("p"), by_geometry(w, h).alias("g"))
     sure = lambda c, least: F.when(F.col(f"{c}.confidence") >= least, F.col(c))
-    found = F.coalesce(
-        F.when(F.col("rep_zone").isNotNull(), _found(F.col("rep_zone"), 0.95, "repetition")), F.col("l"), sure("t", 0.8), sure("p", 0.7), sure("g", 0.7),
-        F.col("t"), F.col("p"), F.col("g"), _found("main_text", 0.5, "fallback"),
-    )
-    out = out.select(*columns, found.alias("z"))
+    found = F.coalesce(F.col("l"), sure("t", 0.8), sure("p", 0.7), sure("g", 0.7), F.col("t"), F.col("p"), F.col("g"), _found("main_text", 0.5, "fallback"))
+    # All that the text says is said before rows are sent to meet its repetitions.
+    out = out.select(*columns, "_form", found.alias("z")).join(keyed, [DOC, "_form"], "left")
+    out = out.select(*columns, F.coalesce(F.when(F.col("_rep_zone").isNotNull(), _found(F.col("_rep_zone"), 0.95, "repetition")), F.col("z")).alias("z"))
     return out.select(*columns, "z.zone", F.col("z.confidence").alias("zone_confidence"), F.col("z.method").alias("zone_method")).withColumn("zone_priority", geo.lookup(ZONE_PRIORITY, F.col("zone"), 5))
 
 
 def by_zone(zoned: DataFrame) -> DataFrame:
-    """Each document's elements as lists by zone, in their order."""
-    row = F.struct("page_number", "seq", "text_content")
-    return zoned.groupBy(DOC, "zone").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("elements"))
+    """(document, zone, n, first): how many elements of a document a zone has, and the page and number of the first.
+
+    The elements themselves are the rows of ``in_zones``: as one list they would have to fit in one row.
+    """
+    return zoned.groupBy(DOC, "zone").agg(F.count("*").alias("n"), F.min(F.struct("page_number", "seq")).alias("first"))
+
+
+def in_zones(zoned: DataFrame) -> DataFrame:
+    """Elements with their place, from 1, among those of the same zone of their document."""
+    return zoned.withColumn("zone_place", F.row_number().over(W.partitionBy(DOC, "zone").orderBy("page_number", "seq")))

@@ -222,7 +222,7 @@ def p19_p20_zones(spark, sf_dir):
 @_query(_PG + _ZONED + " SELECT document_id, zone, count(*) AS n, min(page_number * 1000000 + seq) AS first FROM zn GROUP BY 1, 2")
 def a13_elements_by_zone(spark, sf_dir):
     rows = zones.by_zone(zones.classified(layouts.elements(spark, sf_dir)))
-    return rows.select(DOC, "zone", "n", (F.col("elements")[0]["page_number"] * 1000000 + F.col("elements")[0]["seq"]).cast("long").alias("first"))
+    return rows.select(DOC, "zone", "n", (F.col("first.page_number").cast("long") * 1000000 + F.col("first.seq")).alias("first"))
 
 
 # Layout of a page

@@ -8,8 +8,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from quire import checkpoints
-from quire.operators import match, tree
+from quire import checkpoints, registry
+from quire.operators import match, tree, zones
 from quire.streaming import pages as streaming
 
 
@@ -86,6 +86,19 @@ def test_matches_of_copies_are_not_all_pairs(spark, title):
     assert most_rows(best) < 5000
 
 
+def test_zones_of_documents_of_many_pages(spark, tmp_path):
+    """Places beyond page 2147 need more than 32 bits, and no row holds a zone's texts."""
+    text = lambda i: "\n".join([f"the title of page {'abcdefghij'[i % 10]}{i}x", "a line that is long enough to be text " + "z" * (i % 7), *([f"late {i}x"] if i > 2300 else [])])
+    docs = spark.createDataFrame([(i, text(i), "one") for i in range(1, 2401)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["zone"]: (r["n"], r["first"]) for r in registry.queries()["a13_elements_by_zone"](spark, str(tmp_path)).collect()}
+    assert got["section_heading"] == (100, 2301 * 1000000 + 3)
+    assert sum(n for n, _ in got.values()) == 2400 * 2 + 100
+    el = spark.createDataFrame([("d", 2, 1, "text"), ("d", 1, 2, "text"), ("d", 1, 1, "title")], "document_id string, page_number int, seq int, zone string")
+    assert "array" not in {kind.split("<")[0] for _, kind in zones.by_zone(el).dtypes}
+    assert sorted(map(tuple, zones.in_zones(el).collect())) == [("d", 1, 1, "title", 1), ("d", 1, 2, "text", 1), ("d", 2, 1, "text", 2)]
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
