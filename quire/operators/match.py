@@ -80,13 +80,12 @@ def best_matches(headers: DataFrame, elements: DataFrame, least: float = 0.2) ->
     is equal, by blocks of the headings', and by cells of the page. Pairs of copies are never made, and no text is sent that isn't a heading's or a header's.
     """
     low = lambda c: F.lower(txt.stripped(F.coalesce(F.col(c), F.lit(""))))
-    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
     first = F.min(F.struct("page_number", "seq")).alias("at")
     corners = [c for c in ("x1", "y1", "x2", "y2") if c in headers.columns]
     heads = headers.select(DOC, F.col("idx").alias("h_idx"), low("title").alias("ht"), *[F.col(c).alias(f"h_{c}") for c in corners])
     rows = elements.select(DOC, "page_number", "seq", "label", low("text_content").alias("et"), "x1", "y1", "x2", "y2")
     titled, named = heads.where("ht <> ''"), rows.where("et <> ''")
-    equal = titled.select(DOC, "h_idx", "ht", digest("ht").alias("key")).join(named.groupBy(DOC, digest("et").alias("key")).agg(first), [DOC, "key"], "left")
+    equal = titled.select(DOC, "h_idx", "ht", txt.digest(F.col("ht")).alias("key")).join(named.groupBy(DOC, txt.digest(F.col("et")).alias("key")).agg(first), [DOC, "key"], "left")
     apart = equal.where("at is null").select(DOC, "h_idx", "ht")
     within = _within(apart.select(DOC, "ht").distinct(), named.where(F.lower("label").isin(*HEADING)))
     scored = lambda df, score: df.select(DOC, "h_idx", score.alias("match_score"), "at")
@@ -114,16 +113,17 @@ def blended_level(md: Column, sp: Column, label: Column) -> Column:
 
 def fused(headers: DataFrame, best: DataFrame, spatial: DataFrame) -> DataFrame:
     """``headers(idx, level)`` with the element that fits each best, where there is one, and the level that both make."""
-    found = best.withColumnRenamed("h_idx", "idx")
-    joined = headers.join(found, [DOC, "idx"], "left").join(spatial, [DOC, "page_number", "seq"], "left")
+    found = best.withColumnRenamed("h_idx", "idx").join(spatial, [DOC, "page_number", "seq"], "left")
+    joined = headers.join(found, [DOC, "idx"], "left")
     return joined.withColumn("level", blended_level(F.col("level"), F.col("spatial_level"), F.coalesce("label", F.lit("")))).withColumn("origin", F.when(F.col("match_score").isNull(), "markdown").otherwise("matched"))
 
 
 def implicit_sections(elements: DataFrame, headers: DataFrame) -> DataFrame:
     """Elements with a heading's label whose text is no header's title."""
-    known = headers.select(DOC, F.lower(txt.stripped(F.col("title"))).alias("t")).distinct()
-    rows = elements.where(F.lower("label").isin(*HEADING)).withColumn("t", F.lower(txt.stripped(F.coalesce("text_content", F.lit(""))))).where("t <> ''")
-    return rows.join(known, [DOC, "t"], "left_anti").select(elements.columns)
+    known = headers.select(DOC, txt.digest(F.lower(txt.stripped(F.col("title")))).alias("_t")).distinct()
+    text = F.lower(txt.stripped(F.coalesce("text_content", F.lit(""))))
+    rows = elements.where(F.lower("label").isin(*HEADING) & (text != "")).withColumn("_t", txt.digest(text))
+    return rows.join(known, [DOC, "_t"], "left_anti").select(elements.columns)
 
 
 def parents_by_code(rows: DataFrame, by: list[str], code: str = "structure") -> DataFrame:

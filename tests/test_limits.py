@@ -99,6 +99,16 @@ def test_zones_of_documents_of_many_pages(spark, tmp_path):
     assert sorted(map(tuple, zones.in_zones(el).collect())) == [("d", 1, 1, "title", 1), ("d", 1, 2, "text", 1), ("d", 2, 1, "text", 2)]
 
 
+def test_fused_headers_of_copies(spark):
+    rows = [("d", 1 + i // 50, i, "title", "the introduction", 0, 0, 9, 9) for i in range(300)]
+    el = spark.createDataFrame(rows, "document_id string, page_number int, seq int, label string, text_content string, x1 int, y1 int, x2 int, y2 int")
+    heads = spark.createDataFrame([("d", i, "The introduction" if i else "alone", 4) for i in range(300)], "document_id string, idx int, title string, level int")
+    fused = match.fused(heads, match.best_matches(heads, el), el.select("document_id", "page_number", "seq", "label", F.lit(1).alias("spatial_level")))
+    got = {r["idx"]: (r["page_number"], r["seq"], r["level"], r["origin"]) for r in fused.collect()}
+    assert got == {0: (None, None, 4, "markdown")} | {i: (1, 0, 2, "matched") for i in range(1, 300)}
+    assert most_rows(fused) < 5000
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
