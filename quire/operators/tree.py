@@ -110,15 +110,43 @@ def with_node_ids(rows: DataFrame, by: list[str], idx: str = "idx", first: int =
     return rows.withColumn("node_id", node_id(F.row_number().over(W.partitionBy(*by).orderBy(idx)) - 1 + first))
 
 
+#: Nodes whose lines are one piece when the lines of a tree are joined.
+PIECE = 2048
+
+
+def _joined(rows: DataFrame, by: list[str], lines: dict[str, tuple[Column, str]]) -> DataFrame:
+    """For each tree one text of each name: its lines in order with what stands between them.
+
+    Lines make pieces and pieces the text, so that what one task holds of a tree is its texts and not an object for each of its nodes.
+    """
+    ordered = lambda key, *names: F.array_sort(F.collect_list(F.struct(key, *names))).alias("ls")
+    part = F.floor(F.col("idx") / PIECE).alias("part")
+    pieces = rows.select(*by, "idx", part, *[c.alias(n) for n, (c, _) in lines.items()]).groupBy(*by, "part").agg(ordered("idx", *lines))
+    some = lambda n: F.filter(F.transform("ls", lambda x: x[n]), lambda x: x.isNotNull())
+    pieces = pieces.select(*by, "part", *[F.when(F.size(some(n)) > 0, F.concat_ws(sep, some(n))).alias(n) for n, (_, sep) in lines.items()])
+    return pieces.groupBy(*by).agg(ordered("part", *lines)).select(*by, *[F.concat_ws(sep, F.transform("ls", lambda x: x[n])).alias(n) for n, (_, sep) in lines.items()])
+
+
+def outline_line(title: str = "title") -> Column:
+    return F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(title))
+
+
+def markdown_part(title: str = "title", text: str | None = None) -> Column:
+    return F.concat(F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6))), F.lit(" "), F.col(title), *([F.lit("\n\n"), F.col(text)] if text else []))
+
+
 def outline(rows: DataFrame, by: list[str], title: str = "title") -> DataFrame:
     """Indented titles, as one text for each tree."""
-    line = F.struct("idx", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(title)).alias("l"))
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(line)).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("outline"))
+    return _joined(rows, by, {"outline": (outline_line(title), "\n")})
 
 
 def as_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None) -> DataFrame:
-    body = F.concat(F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6))), F.lit(" "), F.col(title), *([F.lit("\n\n"), F.col(text)] if text else []))
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", body.alias("l")))).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n\n").alias("markdown"))
+    return _joined(rows, by, {"markdown": (markdown_part(title, text), "\n\n")})
+
+
+def outline_and_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None) -> DataFrame:
+    """Both in one pass, without a join of whole texts. Each is one value of one row: a tree must fit in a task; ``outline_line`` and ``markdown_part`` need not."""
+    return _joined(rows, by, {"outline": (outline_line(title), "\n"), "markdown": (markdown_part(title, text), "\n\n")})
 
 
 def summary_lines(rows: DataFrame, by: list[str], limit: int = 20) -> DataFrame:
