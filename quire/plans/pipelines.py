@@ -61,14 +61,18 @@ def markdown_tree(lines: DataFrame, by: list[str], settings: Settings = Settings
 def matched_tree(elements: DataFrame, lines: DataFrame) -> DataFrame:
     """Markdown headers joined to the elements that fit them, headings that Markdown lacks added, as one tree."""
     heads = markdown.header_offsets(lines, [DOC]).withColumn("idx", F.row_number().over(W.partitionBy(DOC).orderBy("line_num")) - 1)
-    spatial = hierarchy.classified(elements).select(DOC, "page_number", "seq", "label", "y1", "spatial_level")
+    placed = hierarchy.classified(elements)
+    spatial = placed.select(DOC, "page_number", "seq", "label", "y1", "spatial_level")
     best = match.best_matches(heads, elements)
     explicit = match.fused(heads, best, spatial).select(DOC, F.coalesce("page_number", F.lit(1)).alias("page_number"), F.col("idx").alias("seq"), "y1", "title", "level", "origin")
-    implicit = match.implicit_sections(elements, heads).join(spatial.select(DOC, "page_number", "seq", "spatial_level"), [DOC, "page_number", "seq"]).select(
+    # What the layout says of an element goes along with it, so that its text isn't sent again to meet it.
+    implicit = match.implicit_sections(placed, heads).select(
         DOC, "page_number", "seq", "y1", F.col("text_content").alias("title"), F.col("spatial_level").alias("level"), F.lit("layout").alias("origin")
     )
     rows = match.sorted_sections(explicit, implicit)
-    return tree.with_node_ids(tree.with_parents(cut(rows), [DOC], levels=None), [DOC])
+    # A level made of two lies between them, and a layout's is 5 at most: the headers tell how deep levels go.
+    deepest = heads.agg(F.max("level")).first()[0] or 0
+    return tree.with_node_ids(tree.with_parents(rows, [DOC], levels=range(0, max(5, deepest) + 1)), [DOC])
 
 
 def toc_tree(rows: DataFrame, physical: DataFrame, by: list[str], last_page: Column) -> DataFrame:

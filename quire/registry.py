@@ -673,7 +673,8 @@ def c2_page_layout(spark, sf_dir):
 
 @_query()
 def c3_matched_tree(spark, sf_dir):
-    lines = _lines(spark, sf_dir).withColumn("line_num", F.row_number().over(W.partitionBy(DOC).orderBy("page_number", "seq")))
+    # Numbers that rise through a document, and need no line but the headers to be sorted.
+    lines = _lines(spark, sf_dir).withColumn("line_num", F.col("page_number") * F.lit(1 << 32) + F.col("seq"))
     return pipelines.matched_tree(layouts.elements(spark, sf_dir), lines).select(DOC, "idx", "node_id", "title", "level", "origin", "parent_idx", "depth")
 
 

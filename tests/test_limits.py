@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire import checkpoints, registry
 from quire.operators import match, tree, zones
+from quire.plans import pipelines
 from quire.streaming import pages as streaming
 
 
@@ -121,6 +122,15 @@ def test_texts_of_trees_in_pieces(spark, monkeypatch):
         assert r["markdown"] == "\n\n".join("#" * (d + 1) + f" {t}\n\n{x}" for _, _, d, t, x in mine)
 
 
+def test_matched_tree_is_not_written_in_between(spark, monkeypatch):
+    """Levels deeper than a layout's, without a checkpoint of all rows to find them."""
+    monkeypatch.setattr(pipelines, "cut", lambda df: pytest.fail("written"))
+    el = spark.createDataFrame([("d", 1, 1, "title", "Top", 0, 0, 90, 20), ("d", 1, 2, "sub_title", "Only here", 0, 30, 90, 50)], "document_id string, page_number int, seq int, label string, text_content string, x1 int, y1 int, x2 int, y2 int")
+    lines = spark.createDataFrame([("d", 1, "# Top"), ("d", 2, "######### Deep")], "document_id string, line_num int, md_line string")
+    got = {r["title"]: (r["level"], r["origin"]) for r in pipelines.matched_tree(el, lines).collect()}
+    assert set(got) == {"Top", "Only here", "Deep"} and got["Deep"] == (8, "markdown") and got["Only here"][1] == "layout"
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
