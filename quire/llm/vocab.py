@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -19,6 +20,11 @@ _RARE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]|<\\|")
 _END = "<|endoftext|>"
 #: ASCII marks; a vocabulary's pattern always cuts between a run of letters and a run of these.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space that ``_CHUNK`` has to look at closely: any other than single spaces and line ends.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
+#: The byte-level vocabularies' sign for each byte: itself as in Latin-1, or one of those from 256 on.
+_ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SIGNS = "".join(chr(256 + _ODD.index(b) if b in _ODD else b) for b in range(256))
 #: So many bytes of chunks and ids are remembered in one Python worker.
 MEMORY, PIECE_MEMORY = 76 << 20, 32 << 20
 
@@ -29,23 +35,32 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _word(part: str) -> bool:
+    """Is it letters alone, perhaps behind a space, on which all versions of the Unicode tables agree?"""
+    core = part[1:] if part[0] == " " else part
+    return core.isalpha() and (core.isascii() or max(core) < "\u0180" and "İ" not in core)
+
+
 class Memo:
     """chunk -> ids as little-endian 16-bit integers, in two generations: what isn't met again while one fills is forgotten."""
 
-    def __init__(self, encode_all) -> None:
-        self.encode_all, self.young, self.old, self.room = encode_all, {}, {}, MEMORY
+    def __init__(self, encode_words, encode_all) -> None:
+        self.encode_words, self.encode_all, self.young, self.old, self.room = encode_words, encode_all, {}, {}, MEMORY
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """A dictionary that holds the chunks and perhaps others, until the next call."""
         if self.room < 0:
             self.young, self.old, self.room = {}, self.young, MEMORY
         young, recall = self.young, self.old.get
+        words: dict[str, None] = {}
         todo: dict[str, None] = {}
         joined = []
         for c in chunks.difference(young):
             if (known := recall(c)) is not None:
                 young[c] = known
-            elif c.isalpha() or (core := c.rstrip(_MARKS)) == c or not core.lstrip(" ").isalpha() or "İ" in core:
+            elif _word(c):
+                words[c] = None
+            elif (core := c.rstrip(_MARKS)) == c or not core.lstrip(" ").isalpha() or "İ" in core:
                 todo[c] = None
             else:  # letters end where marks begin; the letter that is left out is two in lower case
                 joined.append((c, core, c[len(core) :]))
@@ -55,12 +70,12 @@ class Memo:
                     if (known := recall(part)) is not None:
                         young[part] = known
                     else:
-                        todo[part] = None
-        ids = self.encode_all(list(todo))
-        young.update(zip(todo, ids))
+                        (words if _word(part) else todo)[part] = None
+        ids = [*self.encode_words(list(words)), *self.encode_all(list(todo))]
+        young.update(zip((*words, *todo), ids))
         for c, core, marks in joined:
             young[c] = young[core] + young[marks]
-        self.room -= 240 * (len(todo) + len(joined)) + 2 * sum(map(len, todo)) + sum(map(len, ids))
+        self.room -= 240 * (len(ids) + len(joined)) + 2 * (sum(map(len, words)) + sum(map(len, todo))) + sum(map(len, ids))
         return young
 
 
@@ -78,16 +93,25 @@ class Encoder:
             raise ValueError("ids must fit in 16 bits")
         self.folds = folds
         self.end = self.tokenizer.token_to_id(_END)
-        self.memo = Memo(self._all)
+        self.model = self.tokenizer.model
+        self.units = [i.to_bytes(2, "little") for i in range(65536)]
+        self.memo = Memo(self._words, self._all)
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word of letters: the patterns cut nowhere in it, so it goes straight to the library's merges."""
+        merge, units, join = self.model.tokenize, self.units, b"".join
+        if self.folds:
+            words = map(str.lower, words)
+        return [join([units[t.id] for t in merge(charmap_decode(w.encode(), "strict", _SIGNS)[0])]) for w in words]
+
     def _all(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk: many go through the library as one text, with a special token between each two."""
         out = []
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
+        for i in range(0, len(chunks), 256):
+            part = chunks[i : i + 256]
             ids = np.array(self.tokenizer.encode(_END.join(part), add_special_tokens=False).ids, dtype="<u2")
             marks = np.flatnonzero(ids == self.end)
             if len(marks) != len(part) - 1:
@@ -106,11 +130,17 @@ class Encoder:
         except UnicodeEncodeError:
             if _RARE.search(text):
                 return None
-            return text.split() if self.folds else _CHUNK.findall(text)
+            return text.split() if self.folds else self._chunks(text)
         if "\x85" in text or "\xa0" in text:
             return None
         # Up to Latin-1, the lower case of a letter depends on nothing else.
-        return text.lower().split() if self.folds else _CHUNK.findall(text)
+        return text.lower().split() if self.folds else self._chunks(text)
+
+    def _chunks(self, text: str) -> list[str]:
+        if "\x00" in text or any(c in text for c in _RUNS):
+            return _CHUNK.findall(text)
+        # No white space next to white space: a space goes with the word behind it, a line end is a chunk of its own.
+        return [c for c in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if c]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""

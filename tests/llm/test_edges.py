@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from quire.llm import ann, common, piece_sampling, pii, quality_model, quality_rules, simhash, substring, token_files
 from quire.llm import queries as llm
-from quire.llm.vocab import Pieces, public_path
+from quire.llm.vocab import Encoder, Pieces, public_path
 
 from . import helpers as H
 
@@ -392,3 +392,18 @@ def test_hashes_are_what_they_say():
     words = substring.Words([b"a b  c d", b"b c d e"])
     d = words.digests(np.array([1, 4]), 3)
     assert (d[0] == d[1]).all() and d[0].tobytes() == hashlib.blake2b(b"b c d", digest_size=16).digest()
+
+
+def test_words_go_straight_to_the_merges(monkeypatch):
+    rng = random.Random(5)
+    parts = ["onion", "Étage", "ß", "ŒUVRE", "naïve", "ÿ", "Ÿ", "µ", "ªb", "a­b", "x.", "y,", "Да", "İz", "ŉ", "ſ", "中", "don't", "Ź", "\x00", "1a", "é́"]
+    texts = ["".join(rng.choice(["", " ", " ", "\n", "  ", "\t"]) + rng.choice(parts) for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", "\n"]) for _ in range(3000)]
+    prose = "Onion étage naïve\nor words, and more."
+    for name, folds in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        encoder = Encoder(public_path(name), folds)
+        assert encoder(texts) == [encoder._whole(t) for t in texts]
+        # Of prose only marks and line ends take the way through the patterns.
+        encoder, slow = Encoder(public_path(name), folds), []
+        every = encoder.memo.encode_all
+        monkeypatch.setattr(encoder.memo, "encode_all", lambda chunks: slow.extend(chunks) or every(chunks))
+        assert encoder([prose]) == [encoder._whole(prose)] and set(slow) <= {"\n", ",", "."}
