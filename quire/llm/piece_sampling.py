@@ -178,14 +178,25 @@ class Lattices:
         edges = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
         for step, (at, edge) in enumerate(drawn):
             edges[ends[at] - 1 - step] = edge
-        ids = self.ids[edges]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [self._spelled(ids[lo:hi]) for lo, hi in zip(upto, upto[1:])]
-
-    def _spelled(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or ids.min() >= 0:
-            return ids
-        return np.array([i for x in ids.tolist() for i in ([x] if x >= 0 else self.byte_id[list(chr(-1 - x).encode())].tolist())], dtype=np.int32)
+        ids, upto = self._spelled(self.ids[edges], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        return [ids[lo:hi] for lo, hi in zip(upto, upto[1:])]
+
+    def _spelled(self, ids: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids with the bytes of each character that is held below zero, and where what ended at ``upto`` ends now."""
+        at = np.flatnonzero(ids < 0)
+        if not len(at):
+            return ids, upto.tolist()
+        c = -1 - ids[at]
+        more = np.zeros(len(ids) + 1, dtype=np.int64)  # bytes but one of the characters before each place
+        more[at + 1] = 0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        size = more[at + 1] + 1
+        more = np.cumsum(more)
+        out = np.empty(len(ids) + int(more[-1]), dtype=np.int32)
+        out[np.arange(len(ids)) + more[:-1]] = ids
+        spelled = np.frombuffer(c.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+        begin = np.cumsum(size) - size
+        out[np.repeat(at + more[at] - begin, size) + np.arange(len(spelled))] = self.byte_id[spelled]
+        return out, (upto + more[upto]).tolist()
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode()

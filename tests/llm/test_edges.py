@@ -407,3 +407,14 @@ def test_words_go_straight_to_the_merges(monkeypatch):
         every = encoder.memo.encode_all
         monkeypatch.setattr(encoder.memo, "encode_all", lambda chunks: slow.extend(chunks) or every(chunks))
         assert encoder([prose]) == [encoder._whole(prose)] and set(slow) <= {"\n", ",", "."}
+
+
+def test_op7_spells_all_texts_at_once():
+    lattices = piece_sampling.Lattices(public_path("piece_bpe_32k.model"), piece_sampling.ALPHA)
+    held = [[5, -1 - ord("é"), -1 - 0x10FFFF, 7], [], [-1 - ord("a")], [9], [-1, -1 - ord("中")]]
+    want = [[i for x in ids for i in ([x] if x >= 0 else [lattices.byte_id[b] for b in chr(-1 - x).encode()])] for ids in held]
+    ids, upto = lattices._spelled(np.array(sum(held, []), dtype=np.int32), np.cumsum([0, *map(len, held)]))
+    assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:])] == want
+    texts = ["\U000e0001x", "", "\x00 \x00", "plain", "▁ é\U0010fffd"]
+    assert [lattices.decode(i) for i in lattices.sample(texts, list(range(len(texts))))] == texts
+    assert [i.tolist() for i in lattices.sample(texts, [4] * 5)] == [lattices.sample([t], [4])[0].tolist() for t in texts]
