@@ -9,7 +9,7 @@ Within a block an id goes by its rank, by how many others came first. A token is
 followed the last one (order 1), another id that was in the block (order 0), or a new one. Three answers tell which, coded at once, with mixed predictions: the stretched probabilities of counters, which know
 how long each order has been right, whether the orders agree, how often the guess was there and how many ids are distinct so far (order 0), are weighted by what proved right, and squashed. An id that was
 there is coded by its rank, a new one by how many bits it has, with adaptive frequencies, and by the bits. All arithmetic is on integers, so any machine
-decodes what another coded.
+decodes what another coded. Spark jobs code and decode by ``TokenCoder.java``, bit for bit the same, in the JVM; the numpy coder here is its reference and reads the files without Spark.
 
 Null and empty texts have the end id only; an empty table has no files. Rows that share an id follow each other by the first characters of their texts, those that
 share these too by a hash; repeated rows are documents of their own. Ids of documents must be integers; a null id comes first. A very long text is encoded
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import token_jvm
 from .common import forget, kept, quoted, slices, small_batches, staged
 from .vocab import Encoder, public_path
 
@@ -38,7 +39,8 @@ from .vocab import Encoder, public_path
 BLOCK, FRAME = 2048, 6_000_000
 #: Bytes of text that one task encodes.
 SHARD_BYTES = 24 << 20
-MAGIC = b"QTF2"
+#: Of a frame whose tokens are coded, and of one whose tokens are plain 16-bit integers, on its way to or from the JVM.
+MAGIC, PLAIN = b"QTF2", b"QTFR"
 
 _ONE, _HALF, _FULL = 4096, 2048, 65536  # predictions have 12 bits, shares 16
 _MASK = np.uint64((1 << 48) - 1)
@@ -300,22 +302,24 @@ def decode_tokens(data: bytes, n: int, only: list[int] | None = None) -> np.ndar
     return np.concatenate([row[:m] for row, m in zip(grid, lengths[take].tolist())])
 
 
-def encode_frame(ids: list, docs: list[np.ndarray]) -> bytes:
+def encode_frame(ids: list, docs: list[np.ndarray], plain: bool = False) -> bytes:
     sizes = np.array([len(d) for d in docs], dtype="<u8")
     nulls = np.array([i is None for i in ids], dtype=np.uint8)
     index = zlib.compress(np.array([i or 0 for i in ids], dtype="<i8").tobytes() + nulls.tobytes() + sizes.tobytes(), 1)
-    return MAGIC + struct.pack("<III", len(ids), len(index), zlib.crc32(index)) + index + encode_tokens(np.concatenate(docs))
+    tokens = np.concatenate(docs)
+    head = struct.pack("<III", len(ids), len(index), zlib.crc32(index)) + index
+    return b"".join((PLAIN, head, tokens.astype("<u2", copy=False).data)) if plain else MAGIC + head + encode_tokens(tokens)
 
 
 def decode_frame(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(document id, its token ids) in order."""
+    """(document id, its token ids) in order, of a coded frame or a plain one."""
     n, size, crc = struct.unpack_from("<III", data, 4)
-    if data[:4] != MAGIC or zlib.crc32(index := data[16 : 16 + size]) != crc:
+    if (magic := data[:4]) not in (MAGIC, PLAIN) or zlib.crc32(index := data[16 : 16 + size]) != crc:
         raise ValueError("not a frame, or a damaged one")
     raw = zlib.decompress(index)
     ids, nulls = np.frombuffer(raw, "<i8", n).tolist(), raw[8 * n : 9 * n]
     sizes = np.frombuffer(raw, "<u8", n, 9 * n).astype(np.int64)
-    tokens = decode_tokens(data[16 + size :], int(sizes.sum()))
+    tokens = decode_tokens(data[16 + size :], int(sizes.sum())) if magic == MAGIC else np.frombuffer(data, "<u2", int(sizes.sum()), 16 + size)
     for i, null, doc in zip(ids, nulls, np.split(tokens, np.cumsum(sizes)[:-1])):
         yield None if null else i, doc
 
@@ -341,7 +345,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def give(ids, held, of=0, lead=0):
             nonlocal before, frame
             n = sum(map(len, held))
-            row = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, n, of, lead)), pa.array([encode_frame(ids, held)], pa.binary())]
+            row = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), *(pa.array([x], pa.int64()) for x in (before, n, of, lead)), pa.array([encode_frame(ids, held, True)], pa.binary())]
             before, frame = before + n, frame + 1
             return pa.RecordBatch.from_arrays(row, names=["part", "frame", "before", "n_tokens", "of", "lead", "payload"])
 
@@ -363,7 +367,8 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield give(ids, held)
         forget()  # a worker that waits for a task shall hold nothing
 
-    return staged(ordered.mapInArrow(run, "part int, frame int, before long, n_tokens long, of long, lead long, payload binary"))
+    plain = ordered.mapInArrow(run, "part int, frame int, before long, n_tokens long, of long, lead long, payload binary")
+    return staged(plain.withColumn("payload", token_jvm.encoded(docs.sparkSession, F.col("payload"), (_SQUASH, _STRETCH))))
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -371,7 +376,8 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
     parts = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each file
     before = [0, *accumulate(n for _, n in parts)]
     first = files.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(parts, before)], "part int, earlier long")
-    framed = files.join(F.broadcast(first), "part").select((F.col("earlier") + F.col("before")).alias("start"), "payload", "lead", "of")
+    framed = files.join(F.broadcast(first), "part").select((F.col("earlier") + F.col("before")).alias("start"), "n_tokens", "payload", "lead", "of")
+    plain = token_jvm.decoded(files.sparkSession, F.col("payload"), F.col("n_tokens"), (_SQUASH, _STRETCH)).alias("payload")
     names = [id_col, "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names[:4]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
@@ -400,8 +406,8 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
         made = (i, table.column("begin")[0].as_py(), n, crc, *([np.concatenate(parts)] if with_ids else []))
         return pa.Table.from_arrays([pa.array([c], k) for c, k in zip(made, kinds)], names=names)
 
-    pieces = framed.where("of > 0").select((F.col("start") - F.col("lead")).alias("begin"), "lead", "payload")
-    return framed.where("of = 0").select("start", "payload").mapInArrow(whole, schema).unionByName(pieces.groupBy("begin").applyInArrow(joined, schema))
+    pieces = framed.where("of > 0").select((F.col("start") - F.col("lead")).alias("begin"), "lead", plain)
+    return framed.where("of = 0").select("start", plain).mapInArrow(whole, schema).unionByName(pieces.groupBy("begin").applyInArrow(joined, schema))
 
 
 def token_digest(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import ann, automaton, packing, pii, piece_sampling, quality_model, quality_rules, secret_scan, simhash, substring, token_files
+from quire.llm import ann, automaton, packing, pii, piece_sampling, quality_model, quality_rules, secret_scan, simhash, substring, token_files, token_jvm
 from quire.llm import queries as llm
 from quire.llm.vocab import Encoder, public_path
 
@@ -140,6 +140,34 @@ def test_op4_codes_ids_of_any_kind():
     assert sizes[0] < sizes[1] / 2 < sizes[2] / 2
 
 
+def test_op4_codes_in_the_jvm_as_in_numpy(spark):
+    rng, frames = np.random.default_rng(3), []
+    for n in (1, 2048, 5000):
+        for x in (rng.integers(0, 65536, n), np.full(n, 65535), np.tile(rng.integers(0, 65536, 37), n // 37 + 1)[:n], rng.zipf(1.2, n) % 50257):
+            cut = np.split(x.astype("<u2"), [n // 3])
+            frames.append((token_files.encode_frame([None, 7], cut, True), token_files.encode_frame([None, 7], cut), n))
+    tables = token_files._SQUASH, token_files._STRETCH
+    rows = spark.createDataFrame(frames, "plain binary, coded binary, n long")
+    for r in rows.withColumns({"e": token_jvm.encoded(spark, F.col("plain"), tables), "d": token_jvm.decoded(spark, F.col("coded"), F.col("n"), tables)}).collect():
+        assert r["e"] == r["coded"] and r["d"] == r["plain"]
+        assert [(i, len(x)) for i, x in token_files.decode_frame(r["d"])] == [(None, r["n"] // 3), (7, r["n"] - r["n"] // 3)]
+    good = frames[-1][1]
+    for bad in (good[:-1] + bytes([good[-1] ^ 1]), frames[-1][0], good[:9]):  # a damaged block, a frame that isn't coded, a torn one
+        with pytest.raises(Exception, match="damaged"):
+            spark.createDataFrame([(bad, 5000)], "coded binary, n long").select(token_jvm.decoded(spark, F.col("coded"), F.col("n"), tables)).collect()
+
+
+def test_op4_files_of_spark_are_those_of_numpy(spark):
+    words = [f"w{i * i % 977}" for i in range(1500)]
+    files = token_files.write_token_files(spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "a b a b"), (4, "x")], "doc_id long, text string"), most=3000)
+    rows = files.collect()
+    assert max(r["of"] for r in rows) > 3000 and min(r["of"] for r in rows) == 0  # a document in pieces, and whole ones
+    for r in rows:
+        back = list(token_files.decode_frame(bytes(r["payload"])))
+        assert sum(len(x) for _, x in back) == r["n_tokens"]
+        assert token_files.encode_frame([i for i, _ in back], [x for _, x in back]) == r["payload"]
+
+
 def test_op5(frame, docs):
     few = docs[:110] + docs[-10:]
     assert got(simhash.near_duplicates(frame), "doc_id", "fingerprint", "component_id") == H.components(docs)
