@@ -395,19 +395,30 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    def joined(table: pa.Table) -> pa.Table:
-        """A document from its pieces, one decoded at a time."""
-        table = table.sort_by("lead")
-        crc, n, parts = 0, 0, []
-        for payload in table.column("payload"):
-            ((i, ids),) = decode_frame(payload.as_py())
-            crc, n = zlib.crc32(ids.astype("<u4").tobytes(), crc), n + len(ids)
-            parts.append(ids if with_ids else ids[:0])
-        made = (i, table.column("begin")[0].as_py(), n, crc, *([np.concatenate(parts)] if with_ids else []))
-        return pa.Table.from_arrays([pa.array([c], k) for c, k in zip(made, kinds)], names=names)
-
-    pieces = framed.where("of > 0").select((F.col("start") - F.col("lead")).alias("begin"), "lead", plain)
-    return framed.where("of = 0").select("start", plain).mapInArrow(whole, schema).unionByName(pieces.groupBy("begin").applyInArrow(joined, schema))
+    def joined(batches):
+        """Documents from their pieces, which follow each other; one piece is held at a time."""
+        forget()
+        at, doc, n, crc, parts = None, None, 0, 0, []
+
+        def made():
+            columns = doc, at, n, crc, *([np.concatenate(parts)] if with_ids else [])
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ((i, ids),) = decode_frame(payload.as_py())
+                if begin != at:
+                    if at is not None:
+                        yield made()
+                    at, doc, n, crc, parts = begin, i, 0, 0, []
+                crc, n = zlib.crc32(ids.astype("<u4").tobytes(), crc), n + len(ids)
+                if with_ids:
+                    parts.append(ids)
+        if at is not None:
+            yield made()
+
+    pieces = framed.where("of > 0").withColumn("begin", F.col("start") - F.col("lead")).repartition("begin").sortWithinPartitions("begin", "lead")
+    return framed.where("of = 0").select("start", plain).mapInArrow(whole, schema).unionByName(pieces.select("begin", plain).mapInArrow(joined, schema))
 
 
 def token_digest(docs: DataFrame) -> DataFrame:

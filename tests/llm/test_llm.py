@@ -166,6 +166,14 @@ def test_op4_files_of_spark_are_those_of_numpy(spark):
         back = list(token_files.decode_frame(bytes(r["payload"])))
         assert sum(len(x) for _, x in back) == r["n_tokens"]
         assert token_files.encode_frame([i for i, _ in back], [x for _, x in back]) == r["payload"]
+    want = {1: " ".join(words), 2: "", 3: "a b a b", 4: "x"}
+    encoder = Encoder(public_path("byte_bpe_50k.json"), False)
+    read = {r["doc_id"]: r for r in token_files.read_token_files(files).collect()}
+    assert len(rows) == 3 and read.keys() == want.keys()
+    for i, text in want.items():
+        ids = [*np.frombuffer(encoder([text])[0], "<u2").tolist(), 0]
+        assert read[i]["ids"] == ids and (read[i]["n_tokens"], read[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert [read[i]["start"] for i in sorted(read)] == [0, *np.cumsum([read[i]["n_tokens"] for i in sorted(read)])[:-1].tolist()]
 
 
 def test_op5(frame, docs):
