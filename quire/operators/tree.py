@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 KEY = "document_id"
@@ -110,17 +115,76 @@ def with_node_ids(rows: DataFrame, by: list[str], idx: str = "idx", first: int =
     return rows.withColumn("node_id", node_id(F.row_number().over(W.partitionBy(*by).orderBy(idx)) - 1 + first))
 
 
+def _outline_line(title: str) -> Column:
+    return F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(title))
+
+
+def _markdown_part(title: str, text: str | None) -> Column:
+    return F.concat(F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6))), F.lit(" "), F.col(title), *([F.lit("\n\n"), F.col(text)] if text else []))
+
+
 def outline(rows: DataFrame, by: list[str], title: str = "title") -> DataFrame:
     """Indented titles, as one text for each tree."""
-    line = F.struct("idx", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(title)).alias("l"))
+    line = F.struct("idx", _outline_line(title).alias("l"))
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(line)).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("outline"))
 
 
 def as_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None) -> DataFrame:
-    body = F.concat(F.repeat(F.lit("#"), F.least(F.col("depth") + 1, F.lit(6))), F.lit(" "), F.col(title), *([F.lit("\n\n"), F.col(text)] if text else []))
+    body = _markdown_part(title, text)
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", body.alias("l")))).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n\n").alias("markdown"))
 
 
+def _run_together(n_keys: int, ends: list[int]) -> Callable:
+    """Batches of keys and pieces in the order of the trees to one row a tree: its keys, and its pieces of each kind one after another without the last
+    ``ends`` bytes. A batch has the pieces of a tree side by side, so that they are taken in one go."""
+
+    def run(batches):
+        keys, texts = None, []
+
+        def tree():
+            sizes = [max(0, len(t) - end) for t, end in zip(texts, ends)]
+            if max(sizes) >= 2**31:
+                raise ValueError(f"a tree's text of {max(sizes)} bytes doesn't fit in one value")
+            made = [pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(t)) for t, size in zip(texts, sizes)]
+            return pa.RecordBatch.from_arrays([*keys.columns, *made], names=[str(i) for i in range(n_keys + len(ends))])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:n_keys]]
+            starts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1), batch.num_rows]
+            columns = [c.cast(pa.large_string()) for c in batch.columns[n_keys:]]
+            offsets = [np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1] for c in columns]
+            for a, b in zip(starts, starts[1:]):
+                # Copied, as a slice keeps all of its batch.
+                here = batch.select(range(n_keys)).take(pa.array([a]))
+                if keys is None or not keys.equals(here):
+                    if keys is not None:
+                        yield tree()
+                    keys, texts = here, [bytearray() for _ in ends]
+                for t, c, at in zip(texts, columns, offsets):
+                    if at[a] < at[b]:
+                        t += memoryview(c.buffers()[2])[at[a] : at[b]]
+        if keys is not None:
+            yield tree()
+
+    return run
+
+
+def outline_and_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None) -> DataFrame:
+    """What ``outline`` and ``as_markdown`` give, side by side, without a join of whole texts or a list of a tree's lines.
+
+    Nodes pass by in order and a tree's texts grow outside the JVM's heap, which gets each of them once, as the value of a row. That row must still fit:
+    with what Spark and a writer of Parquet copy of it, an executor's heap takes a multiple of its texts.
+    """
+    pieces = {"outline": (_outline_line(title), "\n"), "markdown": (_markdown_part(title, text), "\n\n")}
+    schema = T.StructType([*rows.select(*by).schema.fields, *[T.StructField(n, T.StringType()) for n in pieces]])
+    # Rows that come from a window over the trees are dealt and sorted like this already; Spark then leaves both out.
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "idx")
+    ready = ordered.select(*by, *[F.coalesce(F.concat(c, F.lit(sep)), F.lit("")).alias(n) for n, (c, sep) in pieces.items()])
+    return ready.mapInArrow(_run_together(len(by), [len(sep) for _, sep in pieces.values()]), schema)
+
+
 def summary_lines(rows: DataFrame, by: list[str], limit: int = 20) -> DataFrame:
     line = F.struct("idx", F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("l"))
     return rows.where("summary is not null").groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(line)), 1, limit).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("lines"))

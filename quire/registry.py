@@ -404,8 +404,8 @@ SELECT document_id, '[' || string_agg(CASE WHEN pd >= depth THEN ',' ELSE '' END
 @_query(_RPG + _DEPTHS + ", o AS (SELECT d.document_id, d.idx, d.depth, n.text_content AS title FROM dp d JOIN nodes n USING (document_id, idx)) SELECT document_id, string_agg(repeat('  ', depth) || title, chr(10) ORDER BY idx) AS outline, string_agg(repeat('#', LEAST(depth + 1, 6)) || ' ' || title || chr(10) || chr(10) || title, chr(10) || chr(10) ORDER BY idx) AS markdown FROM o GROUP BY 1")
 def r5_r6_whole_outline_and_markdown(spark, sf_dir):
     """Whole lines as titles, and as the texts below the headings."""
-    rows = _nodes(spark, sf_dir)
-    return tree.outline(rows, [DOC]).join(tree.as_markdown(rows, [DOC], text="text_content"), DOC)
+    # The SQL meets the nodes by their document, so one without a name has no row.
+    return tree.outline_and_markdown(_nodes(spark, sf_dir).where(F.col(DOC).isNotNull()), [DOC], text="text_content")
 
 
 @_query(_PG + _TREE + " SELECT document_id, string_agg('- ' || text_content || ': ' || text_content, chr(10) ORDER BY idx) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS n FROM par) WHERE n <= 20 GROUP BY 1")

@@ -119,6 +119,40 @@ def test_matched_tree_is_not_written_in_between(spark, monkeypatch):
     assert set(got) == {"Top", "Only here", "Deep"} and got["Deep"] == (8, "markdown") and got["Only here"][1] == "layout"
 
 
+def test_whole_outline_and_markdown_make_no_list_of_nodes(spark, tmp_path):
+    """A tree's texts come from nodes that pass by: neither a list of them nor a join of whole texts, and no sort beside those of the windows."""
+    texts = [(1, "a", "Top\nbelow it comes a line that is long enough\nsub\n\nand again a line that is long enough"), (2, "a", "Next"), (3, "b", "\u00e4\u00f6"), (4, None, "lost")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["r5_r6_whole_outline_and_markdown"](spark, str(tmp_path))
+    got = {r["document_id"]: (r["outline"], r["markdown"]) for r in df.collect()}
+    long, again = "below it comes a line that is long enough", "and again a line that is long enough"
+    assert got["a"] == (f"Top\n  {long}\n  sub\n    {again}\nNext", f"# Top\n\nTop\n\n## {long}\n\n{long}\n\n## sub\n\nsub\n\n### {again}\n\n{again}\n\n# Next\n\nNext")
+    assert got["b"] == ("\u00e4\u00f6", "# \u00e4\u00f6\n\n\u00e4\u00f6") and len(got) == 2
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Sort [") == 3
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_texts_of_trees_over_batches(spark, batch):
+    rng = random.Random(6)
+    rows = [(d, e, i, i % 9, rng.choice(["", f"t{i}", "\u4e2d\u6587", None]), rng.choice([f"x{i}", "", None])) for d, e in [("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", None)] for i in range(23)]
+    rows += [("none", 1, i, 0, None, None) for i in range(3)] + [("empty", 1, 0, 0, "", ""), ("one", 1, 5, 1, "t", "x")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "d string, e int, idx int, depth int, title string, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for text in ("text", None):
+            got = {(r["d"], r["e"]): (r["outline"], r["markdown"]) for r in tree.outline_and_markdown(df, ["d", "e"], text=text).collect()}
+            assert set(got) == {r[:2] for r in rows}
+            for key, both in got.items():
+                mine = sorted((r[2:] for r in rows if r[:2] == key), key=lambda r: r[0])
+                outline = "\n".join("  " * d + t for _, d, t, _ in mine if t is not None)
+                parts = ["#" * min(d + 1, 6) + f" {t}" + (f"\n\n{x}" if text else "") for _, d, t, x in mine if t is not None and (x is not None or not text)]
+                assert both == (outline, "\n\n".join(parts))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
