@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from quire.profiles import one_task_an_executor
+
 KEY = "document_id"
 
 
@@ -134,6 +138,34 @@ def as_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", body.alias("l")))).alias("ls")).select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), "\n\n").alias("markdown"))
 
 
+class _Text:
+    """A text that grows piece by piece: in memory while it is short, else in a file without a name, which takes no memory of the process."""
+
+    SHORT = 4 << 20
+
+    def __init__(self):
+        self.recent, self.file, self.size = bytearray(), None, 0
+
+    def add(self, piece: memoryview) -> None:
+        self.recent += piece
+        self.size += len(piece)
+        if len(self.recent) > self.SHORT:
+            self.file = self.file or tempfile.TemporaryFile(buffering=0)
+            self._put()
+
+    def _put(self) -> None:
+        rest = memoryview(self.recent)
+        while rest:
+            rest = rest[self.file.write(rest) :]
+        self.recent = bytearray()
+
+    def buffer(self) -> pa.Buffer:
+        if self.file is None:
+            return pa.py_buffer(self.recent)
+        self._put()
+        return pa.py_buffer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ))
+
+
 def _run_together(n_keys: int, ends: list[int]) -> Callable:
     """Batches of keys and pieces in the order of the trees to one row a tree: its keys, and its pieces of each kind one after another without the last
     ``ends`` bytes. A batch has the pieces of a tree side by side, so that they are taken in one go."""
@@ -142,10 +174,10 @@ def _run_together(n_keys: int, ends: list[int]) -> Callable:
         keys, texts = None, []
 
         def tree():
-            sizes = [max(0, len(t) - end) for t, end in zip(texts, ends)]
+            sizes = [max(0, t.size - end) for t, end in zip(texts, ends)]
             if max(sizes) >= 2**31:
                 raise ValueError(f"a tree's text of {max(sizes)} bytes doesn't fit in one value")
-            made = [pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(t)) for t, size in zip(texts, sizes)]
+            made = [pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), t.buffer()) for t, size in zip(texts, sizes)]
             return pa.RecordBatch.from_arrays([*keys.columns, *made], names=[str(i) for i in range(n_keys + len(ends))])
 
         for batch in batches:
@@ -161,28 +193,35 @@ def _run_together(n_keys: int, ends: list[int]) -> Callable:
                 if keys is None or not keys.equals(here):
                     if keys is not None:
                         yield tree()
-                    keys, texts = here, [bytearray() for _ in ends]
+                    keys, texts = here, [_Text() for _ in ends]
                 for t, c, at in zip(texts, columns, offsets):
                     if at[a] < at[b]:
-                        t += memoryview(c.buffers()[2])[at[a] : at[b]]
+                        t.add(memoryview(c.buffers()[2])[at[a] : at[b]])
         if keys is not None:
             yield tree()
 
     return run
 
 
-def outline_and_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None) -> DataFrame:
+def apart(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` dealt by ranges of their trees, so that a task has one large tree or some small ones: hashing puts large ones together."""
+    # The number is given, as Spark would else put ranges together again.
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def outline_and_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None, dealt: bool = False) -> DataFrame:
     """What ``outline`` and ``as_markdown`` give, side by side, without a join of whole texts or a list of a tree's lines.
 
-    Nodes pass by in order and a tree's texts grow outside the JVM's heap, which gets each of them once, as the value of a row. That row must still fit:
-    with what Spark and a writer of Parquet copy of it, an executor's heap takes a multiple of its texts.
+    Nodes pass by in order and a tree's texts grow outside the JVM, long ones in files, and it gets each of them once, as the value of a row. That row must still fit:
+    with what Spark and a writer of Parquet copy of it until the task ends, a heap takes about 17 times the outline where the Markdown has each title and a text like it.
+    An executor has one such task at a time. ``dealt``: no tree is in two partitions, as after ``apart`` and windows over trees, and ``rows`` aren't dealt again.
     """
     pieces = {"outline": (_outline_line(title), "\n"), "markdown": (_markdown_part(title, text), "\n\n")}
     schema = T.StructType([*rows.select(*by).schema.fields, *[T.StructField(n, T.StringType()) for n in pieces]])
-    # Rows that come from a window over the trees are dealt and sorted like this already; Spark then leaves both out.
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, "idx")
+    needed = rows.select(*dict.fromkeys([*by, "idx", "depth", title, *([text] if text else [])]))
+    ordered = (needed if dealt else apart(needed, by)).sortWithinPartitions(*by, "idx")
     ready = ordered.select(*by, *[F.coalesce(F.concat(c, F.lit(sep)), F.lit("")).alias(n) for n, (c, sep) in pieces.items()])
-    return ready.mapInArrow(_run_together(len(by), [len(sep) for _, sep in pieces.values()]), schema)
+    return ready.mapInArrow(_run_together(len(by), [len(sep) for _, sep in pieces.values()]), schema, profile=one_task_an_executor(rows.sparkSession))
 
 
 def summary_lines(rows: DataFrame, by: list[str], limit: int = 20) -> DataFrame:

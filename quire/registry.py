@@ -350,9 +350,9 @@ def g4_g6_reading_order(spark, sf_dir):
 # Trees
 
 
-def _nodes(spark, sf_dir):
+def _nodes(spark, sf_dir, deal=lambda el: el):
     level = F.expr("CASE label WHEN 'title' THEN 0 WHEN 'sub_title' THEN 2 WHEN 'table' THEN 4 WHEN 'image' THEN 3 ELSE 5 END")
-    el = layouts.elements(spark, sf_dir).withColumn("idx", (F.row_number().over(W.partitionBy(DOC).orderBy("page_number", "seq")) - 1).cast("int")).withColumn("level", level)
+    el = deal(layouts.elements(spark, sf_dir)).withColumn("idx", (F.row_number().over(W.partitionBy(DOC).orderBy("page_number", "seq")) - 1).cast("int")).withColumn("level", level)
     return tree.with_parents(el, [DOC]).withColumn("title", F.col("text_content"))
 
 
@@ -405,7 +405,8 @@ SELECT document_id, '[' || string_agg(CASE WHEN pd >= depth THEN ',' ELSE '' END
 def r5_r6_whole_outline_and_markdown(spark, sf_dir):
     """Whole lines as titles, and as the texts below the headings."""
     # The SQL meets the nodes by their document, so one without a name has no row.
-    return tree.outline_and_markdown(_nodes(spark, sf_dir).where(F.col(DOC).isNotNull()), [DOC], text="text_content")
+    rows = _nodes(spark, sf_dir, lambda el: tree.apart(el.where(F.col(DOC).isNotNull()), [DOC]))
+    return tree.outline_and_markdown(rows, [DOC], title="text_content", text="text_content", dealt=True)
 
 
 @_query(_PG + _TREE + " SELECT document_id, string_agg('- ' || text_content || ': ' || text_content, chr(10) ORDER BY idx) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS n FROM par) WHERE n <= 20 GROUP BY 1")

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from quire import checkpoints, registry
+from quire import checkpoints, profiles, registry
 from quire.operators import match, tree, zones
 from quire.plans import pipelines
 from quire.streaming import pages as streaming
@@ -120,7 +120,7 @@ def test_matched_tree_is_not_written_in_between(spark, monkeypatch):
 
 
 def test_whole_outline_and_markdown_make_no_list_of_nodes(spark, tmp_path):
-    """A tree's texts come from nodes that pass by: neither a list of them nor a join of whole texts, and no sort beside those of the windows."""
+    """A tree's texts come from nodes that pass by: neither a list of them nor a join of whole texts."""
     texts = [(1, "a", "Top\nbelow it comes a line that is long enough\nsub\n\nand again a line that is long enough"), (2, "a", "Next"), (3, "b", "\u00e4\u00f6"), (4, None, "lost")]
     spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     df = registry.queries()["r5_r6_whole_outline_and_markdown"](spark, str(tmp_path))
@@ -129,11 +129,12 @@ def test_whole_outline_and_markdown_make_no_list_of_nodes(spark, tmp_path):
     assert got["a"] == (f"Top\n  {long}\n  sub\n    {again}\nNext", f"# Top\n\nTop\n\n## {long}\n\n{long}\n\n## sub\n\nsub\n\n### {again}\n\n{again}\n\n# Next\n\nNext")
     assert got["b"] == ("\u00e4\u00f6", "# \u00e4\u00f6\n\n\u00e4\u00f6") and len(got) == 2
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Sort [") == 3
+    assert "Join" not in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("batch", [1, 7, 10000])
-def test_texts_of_trees_over_batches(spark, batch):
+@pytest.mark.parametrize("batch,short", [(1, 3), (7, 4 << 20), (10000, 40)])
+def test_texts_of_trees_over_batches(spark, monkeypatch, batch, short):
+    monkeypatch.setattr(tree._Text, "SHORT", short)
     rng = random.Random(6)
     rows = [(d, e, i, i % 9, rng.choice(["", f"t{i}", "\u4e2d\u6587", None]), rng.choice([f"x{i}", "", None])) for d, e in [("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", None)] for i in range(23)]
     rows += [("none", 1, i, 0, None, None) for i in range(3)] + [("empty", 1, 0, 0, "", ""), ("one", 1, 5, 1, "t", "x")]
@@ -153,6 +154,26 @@ def test_texts_of_trees_over_batches(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_large_trees_have_tasks_of_their_own(spark):
+    """Neither does hashing put two into one task, nor does Spark put tasks together; and an executor has one of these tasks at a time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        df = spark.createDataFrame([(d, i, 0, f"t{i}") for d in "abcdefgh" for i in range(50)], "d string, idx int, depth int, title string")
+        got = tree.outline_and_markdown(df, ["d"]).select("d", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r["task"] for r in got}) == len(got) == 8
+    session = lambda master, **said: SimpleNamespace(sparkContext=SimpleNamespace(master=master, applicationId=f"{master} {said}", getConf=lambda: {k.replace("_", "."): v for k, v in said.items()}))
+    assert profiles.one_task_an_executor(spark) is None
+    assert profiles.one_task_an_executor(session("yarn")) is None
+    assert profiles.one_task_an_executor(session("yarn", spark_executor_cores="4", spark_task_cpus="4")) is None
+    for cluster, cores in ((session("local-cluster[3,2,3000]"), 2), (session("yarn", spark_executor_cores="4"), 4)):
+        made = profiles.one_task_an_executor(cluster)
+        assert made.taskResources["cpus"].amount == cores and not made.executorResources
+        assert profiles.one_task_an_executor(cluster) is made
+
+
 def tag(text, *boxes):
     return f"<|ref|>text<|/ref|><|det|>[{','.join('[%d,%d,%d,%d]' % b for b in boxes)}]<|/det|>\n{text}"
 
