@@ -212,8 +212,8 @@ def apart(rows: DataFrame, by: list[str]) -> DataFrame:
 def outline_and_markdown(rows: DataFrame, by: list[str], title: str = "title", text: str | None = None, dealt: bool = False) -> DataFrame:
     """What ``outline`` and ``as_markdown`` give, side by side, without a join of whole texts or a list of a tree's lines.
 
-    Nodes pass by in order and a tree's texts grow outside the JVM, long ones in files, and it gets each of them once, as the value of a row. That row must still fit:
-    with what Spark and a writer of Parquet copy of it until the task ends, a heap takes about 17 times the outline where the Markdown has each title and a text like it.
+    Nodes pass by in order and a tree's texts grow outside the JVM, long ones in files, and it gets each of them once, as the value of a row. That row must still fit
+    with all that Spark and a writer of Parquet copy of it until the task ends: under a heap of 1800 MB texts of 100 and 200 MB were written, 150 and 300 weren't.
     An executor has one such task at a time. ``dealt``: no tree is in two partitions, as after ``apart`` and windows over trees, and ``rows`` aren't dealt again.
     """
     pieces = {"outline": (_outline_line(title), "\n"), "markdown": (_markdown_part(title, text), "\n\n")}
